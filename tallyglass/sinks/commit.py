@@ -51,7 +51,11 @@ def _copy(path: str) -> str | None:
         return None
     fd, temp = _beside(path, "old")
     os.close(fd)
-    shutil.copy2(path, temp)
+    try:
+        shutil.copy2(path, temp)
+    except BaseException:
+        _forget([temp])
+        raise
     return temp
 
 
