@@ -55,7 +55,9 @@ def canonical(formula: Column | str, dialect: Column) -> Column:
     def run(formulas: pa.Array, dialects: pa.Array) -> pa.Array:
         return pa.array([_row(f, d) for f, d in zip(formulas.to_pylist(), dialects.to_pylist())], _CANONICAL)
 
-    return F.arrow_udf(run, f"struct<{', '.join(x.replace(' ', ':', 1) for x in CANONICAL.split(', '))}>")(formula, dialect)
+    # it is deterministic, but a filter on its result must not be pushed below it and thereby run it twice
+    udf = F.arrow_udf(run, f"struct<{', '.join(x.replace(' ', ':', 1) for x in CANONICAL.split(', '))}>").asNondeterministic()
+    return udf(formula, dialect)
 
 
 def enrich(metrics: DataFrame) -> DataFrame:
