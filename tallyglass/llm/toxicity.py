@@ -11,9 +11,10 @@
 4. The best segments of a document (each token counts once) together give a sum statistic (Karlin and Altschul), whose
    least p-value over the number of segments goes through a logistic curve that is fitted to the labels.
 
-Counts run over all labelled training documents; each counts a token once, and equal texts of a label count once. Tokens
-and prefixes live in a table of two halves of 2**BITS slots (a count-min sketch), so the model has a fixed size. While
-fitting, a document's own counts are taken out before it is scored.
+The model is fitted on a sample of about PER_LABEL labelled texts of each label; a text stands for as many as were there
+for each that was taken. Each counts a token once, and equal texts of a label count once. Tokens and prefixes live in a
+table of two halves of 2**BITS slots (a count-min sketch), so the model has a fixed size. While fitting, a document's own
+counts are taken out before it is scored. Scoring runs over all rows and whole texts.
 
 Rules for odd input: a null or empty text has no tokens and gets the score of a text without a toxic passage; repeated
 rows are each scored; a null doc_id is held out; a document with labels that disagree is no training row; without
@@ -35,7 +36,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, as_bytes, map_arrow, slices
 
-BITS = 21
+BITS = 20
+#: About so many texts of each label are learned from; which ones follows from their ids' hashes.
+PER_LABEL = 12_000
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: Weight of the prior, in documents.
 PRIOR = 0.5
@@ -59,11 +62,22 @@ def tokens(text: str) -> list[str]:
     return _TOKEN.findall(text.lower())
 
 
+def _pair(name: str, bits: int) -> tuple[int, int]:
+    raw, size = name.encode(), 1 << bits
+    return xxhash.xxh64_intdigest(raw, 0) % size, size + xxhash.xxh64_intdigest(raw, 1) % size
+
+
+def prefix_slots(token: str, n: int, bits: int = BITS) -> tuple[int, int]:
+    return _pair(f"{n}:{token[:n]}", bits)
+
+
+def token_slots(token: str, bits: int = BITS) -> tuple[int, int]:
+    return _pair(token, bits)
+
+
 def slots(token: str, bits: int = BITS) -> list[tuple[int, int]]:
     """Slots, one in each half of the table, of the prefixes that are shorter than the token, and of the token."""
-    size = 1 << bits
-    names = [f"{n}:{token[:n]}".encode() for n in PREFIXES if n < len(token)] + [token.encode()]
-    return [(xxhash.xxh64_intdigest(x, 0) % size, size + xxhash.xxh64_intdigest(x, 1) % size) for x in names]
+    return [prefix_slots(token, n, bits) for n in PREFIXES if n < len(token)] + [token_slots(token, bits)]
 
 
 # Segments -----------------------------------------------------------------------------------------------------------
@@ -119,6 +133,7 @@ class Model:
 
     def __post_init__(self):
         self._cache: dict[str, float] = {}
+        self._prefix: dict[str, float] = {}
         self._slots: dict[str, list[tuple[int, int]]] = {}
 
     def __getstate__(self):
@@ -128,32 +143,58 @@ class Model:
         self.__dict__.update(state)
         self.__post_init__()
 
-    def token_score(self, token: str, own_n: int = 0, own_y: int = 0) -> float:
-        """own_n, own_y: what the text at hand has added to each of the token's counts."""
+    def _next(self, share: float, pair: tuple[int, int], own_n: float = 0.0, own_y: float = 0.0) -> float:
+        """The share of toxic documents at a slot, if that of the prefix before is share."""
+        a, b = pair
+        n = max(float(min(self.n[a], self.n[b])) - own_n, 0.0)
+        y = min(max(float(min(self.y[a], self.y[b])) - own_y, 0.0), n)
+        return (y + PRIOR * share) / (n + PRIOR)
+
+    def _value(self, share: float) -> float:
+        share = min(max(share, 1e-9), 1 - 1e-9)
+        return min(max(math.log(share / (1 - share)) - math.log(self.share / (1 - self.share)) - DRIFT, LEAST), MOST)
+
+    def score_without(self, token: str, own_n: float, own_y: float) -> float:
+        """A token's score, where own_n and own_y are what the text at hand has added to each of its counts."""
         at = self._slots.get(token)
         if at is None:
             if len(self._slots) > _CACHE:
                 self._slots.clear()
             at = self._slots[token] = slots(token)
         share = self.share
-        for a, b in at:
-            n = max(float(min(self.n[a], self.n[b])) - own_n, 0.0)
-            y = min(max(float(min(self.y[a], self.y[b])) - own_y, 0.0), n)
-            share = (y + PRIOR * share) / (n + PRIOR)
-        share = min(max(share, 1e-9), 1 - 1e-9)
-        value = math.log(share / (1 - share)) - math.log(self.share / (1 - self.share)) - DRIFT
-        return min(max(value, LEAST), MOST)
+        for pair in at:
+            share = self._next(share, pair, own_n, own_y)
+        return self._value(share)
+
+    def _prefix_share(self, token: str) -> float:
+        """The share after all prefixes that are shorter than the token; those of many tokens are the same."""
+        share = self.share
+        whole = token[: PREFIXES[-1]] if len(token) > PREFIXES[-1] else None
+        if whole is not None and (found := self._prefix.get(whole)) is not None:
+            return found
+        for n in PREFIXES:
+            if n >= len(token):
+                break
+            share = self._next(share, prefix_slots(token, n))
+        if whole is not None:
+            if len(self._prefix) > _CACHE:
+                self._prefix.clear()
+            self._prefix[whole] = share
+        return share
+
+    def token_score(self, token: str) -> float:
+        return self._value(self._next(self._prefix_share(token), token_slots(token)))
 
     def scores(self, words: list[str]) -> np.ndarray:
         cache = self._cache
         if len(cache) > _CACHE:
             cache.clear()
-        found = [cache.get(w) for w in words]
-        if None in found:
-            for i, w in enumerate(words):
-                if found[i] is None:
-                    found[i] = cache[w] = self.token_score(w)
-        return np.array(found, dtype=np.float64)
+        try:
+            return np.fromiter(map(cache.__getitem__, words), np.float64, len(words))
+        except KeyError:
+            for w in set(words).difference(cache):
+                cache[w] = self.token_score(w)
+        return np.fromiter(map(cache.__getitem__, words), np.float64, len(words))
 
     def expectation(self, score: float, length: int) -> float:
         """Of the number of segments with this score in a clean text of this length."""
@@ -192,14 +233,20 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("long").cast("string")) % 3 == 1, F.lit(True))
 
 
-def training(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """text, toxic: each labelled text that is not held out, once for each label."""
-    agreed = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id"))
+def sample(docs: DataFrame, labels: DataFrame, scratch: Scratch, per_label: int = PER_LABEL, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[DataFrame, tuple[float, float]]:
+    """text, toxic of the texts to learn from, each once for its label; and how many rows one of either label stands for."""
+    agreed = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).cast("long").alias("_id"))
     agreed = agreed.agg(F.min(label_col).alias("a"), F.max(label_col).alias("toxic")).where("a = toxic and toxic in (0, 1)").select("_id", F.col("toxic").cast("int").alias("toxic"))
-    rows = docs.where(F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
-    found = rows.join(agreed, "_id").withColumn("_h", F.xxhash64("text"))
-    first = found.groupBy("_h", "toxic").agg(F.min("_id").alias("_id"))
-    return found.join(first, ["_h", "toxic", "_id"], "left_semi").select("text", "toxic")
+    agreed = scratch.save(agreed)
+    n = {r.toxic: r.n for r in agreed.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    rates = [min(1.0, per_label / max(1, n.get(t, 0))) for t in (0, 1)]
+    drawn = F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < F.when(F.col("toxic") == 1, rates[1]).otherwise(rates[0]) * (1 << 30)
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
+    # some 2 * per_label ids, whatever the size of the tables
+    taken = scratch.save(rows.join(F.broadcast(agreed.where(drawn)), "_id").withColumn("_h", F.xxhash64("text")))
+    first = taken.groupBy("_h", "toxic").agg(F.min("_id").alias("_id"))
+    once = taken.join(F.broadcast(first), ["_h", "toxic", "_id"], "left_semi").dropDuplicates(["_id"])
+    return scratch.save(once.select("text", "toxic")), (1 / rates[0], 1 / rates[1])
 
 
 def counts(rows: DataFrame, bits: int = BITS) -> DataFrame:
@@ -234,7 +281,7 @@ def counts(rows: DataFrame, bits: int = BITS) -> DataFrame:
 _FACTS = "toxic int, length long, best array<double>, cells array<long>"
 
 
-def _facts(rows: DataFrame, model: Model) -> DataFrame:
+def _facts(rows: DataFrame, model: Model, clean_weight: float, toxic_weight: float) -> DataFrame:
     """Of every training text its best segments without its own counts; one more row of a task has the classes of clean tokens' scores."""
     shared = rows.sparkSession.sparkContext.broadcast(model)  # two arrays of 2**(BITS + 1) numbers
 
@@ -249,9 +296,8 @@ def _facts(rows: DataFrame, model: Model) -> DataFrame:
                 cache = cached[toxic]
                 if len(cache) > _CACHE:
                     cache.clear()
-                for w in set(words):
-                    if w not in cache:
-                        cache[w] = model.token_score(w, 1, toxic)
+                for w in set(words).difference(cache):
+                    cache[w] = model.score_without(w, toxic_weight if toxic else clean_weight, toxic_weight if toxic else 0.0)
                 s = fresh(words, np.array([cache[w] for w in words], dtype=np.float64))
                 if not toxic and len(s):
                     np.add.at(cells, np.rint((s - LEAST) / STEP).astype(np.int64), 1)
@@ -297,18 +343,19 @@ def logistic(x: np.ndarray, n: np.ndarray, y: np.ndarray) -> tuple[float, float]
     return max(float(w[0]), 0.0), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = PER_LABEL) -> Model:
     scratch = Scratch(docs.sparkSession, "toxicity")
-    rows = scratch.save(training(docs, labels, id_col, text_col, label_col))
+    rows, (clean_weight, toxic_weight) = sample(docs, labels, scratch, per_label, id_col, text_col, label_col)
     n, y = np.zeros(2 << BITS, dtype=np.float32), np.zeros(2 << BITS, dtype=np.float32)
     found = counts(rows).toArrow()  # a row for each slot at most
     slot, some, bad = (found.column(c).to_numpy() for c in ("slot", "n", "y"))
-    total, toxic = int(some[slot == -1].sum()), int(bad[slot == -1].sum())
+    bad, some = bad * toxic_weight, bad * toxic_weight + (some - bad) * clean_weight
+    total, toxic = some[slot == -1].sum(), bad[slot == -1].sum()
     if not 0 < toxic < total:
         return Model(n, y, 0.0)
     n[slot[slot >= 0]], y[slot[slot >= 0]] = some[slot >= 0], bad[slot >= 0]
-    model = Model(n, y, toxic / total)
-    facts = scratch.save(_facts(rows, model))
+    model = Model(n, y, float(toxic / total))
+    facts = scratch.save(_facts(rows, model, clean_weight, toxic_weight))
     cells = np.zeros(_CELLS, dtype=np.int64)
     for r in facts.where("cells is not null").select(F.posexplode("cells").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect():
         cells[r["at"]] = r["n"]
@@ -327,7 +374,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     bare = Model(np.zeros(0), np.zeros(0), model.share, model.rate, model.size)
     curve = map_arrow(facts.where("toxic is not null").select("toxic", "length", "best"), run, "at long, n long, y long").groupBy("at").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).toPandas()
-    model.slope, model.offset = logistic(_X_LEAST + _X_STEP * curve["at"].to_numpy(), curve["n"].to_numpy().astype(float), curve["y"].to_numpy().astype(float))
+    model.slope, model.offset = logistic(_X_LEAST + _X_STEP * curve["at"].to_numpy(), curve["y"].to_numpy() * toxic_weight + (curve["n"] - curve["y"]).to_numpy() * clean_weight, curve["y"].to_numpy() * toxic_weight)
     scratch.drop(rows, facts)
     return model
 
