@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
 _CACHE = 500_000
 _PAIRS = 2_000_000
+_WIDE = 1 << 32
+_CHAR, _NONE = -1, -2
 
 
 # The model file -----------------------------------------------------------------------------------------------------
@@ -137,22 +140,29 @@ class Transducer:
         self.escape = bool(normaliser.get(5, 1))
         self.lexicon = {p: i for i, (p, _, t) in enumerate(self.pieces) if t == NORMAL}
         self.score = {p: self.pieces[i][1] for p, i in self.lexicon.items()}
-        self.longest = max(map(len, self.lexicon), default=1)
         self.unknown = next(i for i, x in enumerate(self.pieces) if x[2] == UNKNOWN)
         self.bytes = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(self.pieces) if t == BYTE}
         self.worst = min(self.score.values(), default=0.0) - UNKNOWN_PENALTY
         self.apart = not self.suffix and not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.lexicon)
-        self._first = self._starts()
+        self._trie, self._shorter = self._compile_trie()
+        self._size = [len(p) for p, _, _ in self.pieces]
         self._surface = self._surfaces()
         self._parts: dict[str, bytes] = {}
-        self._pair: dict[tuple[str, str], bool] = {}
-
-    def _starts(self) -> dict[str, int]:
-        """The longest piece that begins with each character: how far the trie goes."""
-        out: dict[str, int] = {}
-        for p in self.lexicon:
-            out[p[0]] = max(out.get(p[0], 0), len(p))
-        return out
+        self._pair: dict[int, bool] = {}
+
+    def _compile_trie(self) -> tuple[dict[str, int], list[int]]:
+        """For each beginning of a piece the longest piece inside it, and for each piece the next shorter one inside it.
+
+        _CHAR stands for a character that is no piece, _NONE for nothing.
+        """
+        beginnings: set[str] = {p[:n] for p in self.lexicon for n in range(1, len(p) + 1)}
+        trie: dict[str, int] = {}
+        for b in sorted(beginnings, key=len):
+            trie[b] = self.lexicon.get(b, trie.get(b[:-1], _CHAR))
+        shorter = [_NONE] * len(self.pieces)
+        for p, i in self.lexicon.items():
+            shorter[i] = trie[p[:-1]] if len(p) > 1 else _NONE
+        return trie, shorter
 
     # The normaliser
 
@@ -182,60 +192,108 @@ class Transducer:
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
 
     def passes(self, a: str, b: str) -> bool:
-        """Whether the arc from a to b has a finite weight."""
-        found = self._pair.get((a, b))
+        """Whether the arc from a to b has a finite weight; from nothing, whether merging yields b at all."""
+        return self.merged(a + b) == ([a, b] if a else [b])
+
+    # The lattice: arcs leave a position for each piece that begins there, or for a character that is none
+
+    def farthest(self, text: str, i: int) -> int:
+        """The longest piece from i; the others are found by way of _shorter."""
+        trie, most = self._trie, len(text) - i
+        found = trie.get(text[i])
         if found is None:
-            if len(self._pair) > _PAIRS:
-                self._pair.clear()
-            found = self._pair[a, b] = self.merged(a + b) == [a, b]
+            return _CHAR
+        size, step = 1, 2
+        while step:
+            wider = trie.get(text[i : i + size + step]) if size + step <= most else None
+            if wider is None:
+                step -= 1
+            else:
+                found, size = wider, size + step
         return found
 
+    def arcs(self, text: str, i: int) -> list[tuple[int, int]]:
+        """(end, piece or _CHAR) of all arcs from i."""
+        out, at = [], self.farthest(text, i)
+        while at >= 0:
+            out.append((i + self._size[at], at))
+            at = self._shorter[at]
+        return out if at == _NONE else [*out, (i + 1, _CHAR)]
+
     # The shortest path
 
-    def path(self, text: str) -> list[str]:
-        """The pieces and unknown characters on the shortest path of a normalised text."""
+    def path(self, text: str) -> list[tuple[int, int, int]]:
+        """(start, end, piece or _CHAR) of the arcs on the shortest path of a normalised text."""
+        return self._finite_path(text) if self.kind == BPE else self._least_path(text)
+
+    def _least_path(self, text: str) -> list[tuple[int, int, int]]:
         n = len(text)
-        weight = [float("inf")] * (n + 1)
-        start = [-1] * (n + 1)
-        weight[0] = 0.0
-        bpe, lexicon, first, score, passes = self.kind == BPE, self.lexicon, self._first, self.score, self.passes
+        weight, last = [0.0] + [float("inf")] * n, [(0, 0, _NONE)] * (n + 1)
         for i in range(n):
-            here = weight[i]
-            if here == float("inf"):
-                continue
-            before = text[start[i] : i] if i else None
-            c = text[i]
-            for j in range(i + 1, min(n, i + first.get(c, 1)) + 1):
-                piece = text[i:j]
-                if piece in lexicon:
-                    w = here if bpe else here - score[piece]
-                elif j == i + 1:
-                    w = here if bpe else here - self.worst
-                else:
-                    continue
-                if w < weight[j] and (not bpe or before is None or passes(before, piece)) and (not bpe or before is not None or len(piece) == 1 or self.merged(piece) == [piece]):
-                    weight[j], start[j] = w, i
-        if start[n] < 0 and n:
-            raise ValueError("no path")
+            for j, at in self.arcs(text, i):
+                w = weight[i] - (self.worst if at < 0 else self.pieces[at][1])
+                if w < weight[j]:
+                    weight[j], last[j] = w, (i, j, at)
         out = []
         while n:
-            out.append(text[start[n] : n])
-            n = start[n]
+            out.append(last[n])
+            n = last[n][0]
         return out[::-1]
 
-    def ids(self, symbols: list[str]) -> list[int]:
+    def _finite_path(self, text: str) -> list[tuple[int, int, int]]:
+        """The only path without an infinite arc: depth first, the longest pieces first, each state at most once.
+
+        A state is the last piece; what can follow depends on nothing else, so a state without a way on is dead for good.
+        """
+        n, pairs, shorter, size, farthest = len(text), self._pair, self._shorter, self._size, self.farthest
+        if not n:
+            return []
+        ends, known, ahead = [0], [_NONE], [farthest(text, 0)]
+        dead: set[tuple[int, int]] = set()
+        i = 0
+        while i < n:
+            at = ahead[-1]
+            if at == _NONE:
+                if len(ends) == 1:
+                    raise ValueError("no path")
+                ends.pop(), known.pop(), ahead.pop()
+                dead.add((ends[-1], i))
+                i = ends[-1]
+                continue
+            ahead[-1] = shorter[at] if at >= 0 else _NONE
+            j = i + (size[at] if at >= 0 else 1)
+            if dead and (i, j) in dead:
+                continue
+            before = known[-1]
+            if at < 0 or before == _CHAR:
+                good = self.passes(text[ends[-2] : i] if i else "", text[i:j])
+            else:
+                key = before * _WIDE + at
+                good = pairs.get(key)
+                if good is None:
+                    if len(pairs) > _PAIRS:
+                        pairs.clear()
+                    good = pairs[key] = self.passes(text[ends[-2] : i] if i else "", text[i:j])
+            if good:
+                ends.append(j)
+                known.append(at)
+                i = j
+                if i < n:
+                    ahead.append(farthest(text, i))
+        return list(zip(ends, ends[1:], known[1:]))
+
+    def ids(self, text: str) -> array:
         """The output labels: pieces, bytes of unknown characters, or one unknown id for a run of them."""
-        out: list[int] = []
+        out = array("I")
         unknown = False
-        for s in symbols:
-            at = self.lexicon.get(s)
-            if at is not None:
+        for i, j, at in self.path(text):
+            if at >= 0:
                 out.append(at)
             elif self.fallback and self.bytes:
-                out += [self.bytes[b] for b in s.encode("utf-8", "replace")]
+                out.extend(self.bytes[b] for b in text[i:j].encode("utf-8", "replace"))
             elif not unknown or self.kind != UNIGRAM:
                 out.append(self.unknown)
-            unknown = at is None
+            unknown = at < 0
         return out
 
     def packed(self, text: str) -> bytes:
@@ -244,7 +302,7 @@ class Transducer:
         if not normal:
             return b""
         if not self.apart:
-            return np.array(self.ids(self.path(normal)), dtype="<u4").tobytes()
+            return self.ids(normal).tobytes()
         parts, cache = _PART.findall(normal), self._parts
         try:
             return b"".join(map(cache.__getitem__, parts))
@@ -256,7 +314,7 @@ class Transducer:
         for p in parts:
             found = cache.get(p)
             if found is None:
-                found = np.array(self.ids(self.path(p)), dtype="<u4").tobytes()
+                found = self.ids(p).tobytes()
                 if len(p) <= 48:
                     cache[p] = found
             out.append(found)
