@@ -1,8 +1,9 @@
 """An estate made of the star-schema tables, so that SQL can state what the engine must find without reading a formula.
 
 metrics come from part, assets from customer, visuals from orders. Every four parts share a measure's name; their
-formulas are one of four spellings of a sum, a filtered sum, a product with another measure, or broken; roots, formats
-and flags follow from the keys. Parts have more keys than customers, so some measures are used by nobody.
+formulas are one of four spellings of a sum, a filtered sum, a product with the next measure (every tenth time with one
+of their own name), or broken; roots, formats and flags follow from the keys. Parts have more keys than customers, so
+some measures are used by nobody.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     spelled = (
         "case when p_partkey % 53 = 0 then concat('SUM(', p_type, '[', p_size)"
-        " when p_partkey % 7 = 0 then concat('[Measure ', 2 * (p_partkey div 4), '] * ', p_partkey % 3 + 1)"
+        " when p_partkey % 7 = 0 then concat('[Measure ', case when (p_partkey div 4) % 10 = 0 then p_partkey div 4 else p_partkey div 4 + 1 end, '] * ', p_partkey % 3 + 1)"
         " when p_partkey % 11 = 0 then concat('CALCULATE(SUM(', p_type, '[', p_size, ']), ', p_type, '[', p_size, '] > ', p_partkey % 3, '.0)')"
         " when p_partkey % 4 = 0 then concat('SUM ( ', p_type, '[', p_size, '] )')"
         " when p_partkey % 4 = 1 then concat('sum(', lower(p_type), '[', p_size, '])')"
@@ -59,14 +60,14 @@ def visuals(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The same estate in SQL: m (metrics), a (assets), v (visuals), r (references), and what follows from them.
 SQL = """
 with recursive m as (
-  select p_partkey as k, 'm:' || p_partkey as id, p_partkey // 4 as g, 'Measure ' || (p_partkey // 4) as name, p_type as model, p_size as size,
+  select p_partkey as k, 'm:' || p_partkey as id, p_partkey // 4 as g, case when (p_partkey // 4) % 10 = 0 then p_partkey // 4 else p_partkey // 4 + 1 end as h, 'Measure ' || (p_partkey // 4) as name, p_type as model, p_size as size,
     (case when p_partkey % 13 = 0 then '/r2/' else '/r/' end) || p_type as root, p_partkey % 5 = 0 as is_hidden, case when p_partkey % 17 = 0 then '0.0%' else '#,0' end as fmt, p_partkey % 101 = 0 as dyn,
     case when p_partkey % 53 = 0 then 'broken' when p_partkey % 7 = 0 then 'ratio' when p_partkey % 11 = 0 then 'calc' else 'sum' end as branch
   from part
 ), c as (
   select *, case branch when 'sum' then 'SUM(' || model || '[' || size || '])' when 'calc' then 'CALCULATE(SUM(' || model || '[' || size || ']), ' || model || '[' || size || '] > ' || (k % 3) || ')'
-      when 'ratio' then '[MEASURE ' || (2 * g) || '] * ' || (k % 3 + 1) end as normalised,
-    case when branch in ('sum', 'calc') then lower(model) || '[' || size || ']' when branch = 'ratio' then '[measure ' || (2 * g) || ']' else '' end as ref_fingerprint
+      when 'ratio' then '[MEASURE ' || h || '] * ' || (k % 3 + 1) end as normalised,
+    case when branch in ('sum', 'calc') then lower(model) || '[' || size || ']' when branch = 'ratio' then '[measure ' || h || ']' else '' end as ref_fingerprint
   from m
 ), a as (
   select 'a:' || c_custkey as id, c_name as name, case when c_custkey % 2 = 0 then (['ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'SMALL'])[c_custkey % 6 + 1] end as model,
@@ -86,12 +87,12 @@ meant as (select raw, root, model, id from nearer where mmodel = model or not an
 used as (select distinct id as metric_id, r.asset_id, r.asset_id || '@' || coalesce(r.root, '') as asset_key, r.visual_id, r.raw from r join meant on meant.raw = r.raw and meant.root = coalesce(r.root, '') and meant.model = coalesce(r.model, '')),
 uses as (select metric_id as id, count(distinct asset_key || '/' || visual_id) as uses from used group by metric_id),
 unresolved as (select distinct raw from r where raw not in (select raw from meant)),
-columns_known as (select distinct cast(size as varchar) as leaf from m where branch in ('sum', 'calc') union select 'measure ' || (2 * g) from m where branch = 'ratio'),
+columns_known as (select distinct cast(size as varchar) as leaf from m where branch in ('sum', 'calc') union select 'measure ' || h from m where branch = 'ratio'),
 missing as (select raw as text from unresolved where lower(regexp_extract(raw, '([^.]*)$', 1)) not in (select leaf from columns_known)),
 shield as (select distinct m.id from m join missing on contains(lower(text), lower(name)) or contains(lower(name), lower(text))),
 dep as (
   select distinct s.id as src, t.id as dst, t.model = s.model as own, max(t.model = s.model) over (partition by s.id) as any_own
-  from m s join m t on t.g = 2 * s.g where s.branch = 'ratio'
+  from m s join m t on t.g = s.h where s.branch = 'ratio'
 ), edges as (select src, dst from dep where (own or not any_own) and src <> dst),
 reach(id) as (select metric_id from used union select id from shield union select dst from reach join edges on edges.src = reach.id),
 unused as (select id from m where id not in (select id from reach)),

@@ -73,7 +73,7 @@ def ref_fingerprint(spark, sf_dir):
 
 @query(
     "select id, 0 as pos, case branch when 'ratio' then null when 'sum' then case when k % 4 = 1 then lower(model) else model end else model end as ref_table,"
-    " case branch when 'ratio' then 'Measure ' || (2 * g) else cast(size as varchar) end as ref_column from c where branch <> 'broken'"
+    " case branch when 'ratio' then 'Measure ' || h else cast(size as varchar) end as ref_column from c where branch <> 'broken'"
 )
 def extract_refs(spark, sf_dir):
     rows = enriched(spark, sf_dir).select("id", F.posexplode("refs").alias("pos", "r"))
@@ -429,7 +429,7 @@ def query_ref_split(spark, sf_dir):
 
 @query(
     "select id, ref_table, ref_name from (select id, case branch when 'ratio' then null when 'sum' then case when k % 4 = 1 then lower(model) else model end else model end as ref_table,"
-    " case branch when 'ratio' then 'Measure ' || (2 * g) else cast(size as varchar) end as ref_name from c where branch in ('sum', 'ratio') or branch = 'calc')"
+    " case branch when 'ratio' then 'Measure ' || h else cast(size as varchar) end as ref_name from c where branch in ('sum', 'ratio') or branch = 'calc')"
 )
 def dax_light_refs(spark, sf_dir):
     """The light scan for formulas inside reports, over the formulas of all metrics."""
@@ -520,7 +520,7 @@ def _made(spark: SparkSession, sf_dir: str, parse: Callable, kind: str) -> DataF
 
 
 _SOURCES = (
-    "select model as ref_table, 'M' || k as name, case branch when 'broken' then 'SUM(' || model || '[' || size when 'ratio' then '[Measure ' || (2 * g) || '] * ' || (k % 3 + 1)"
+    "select model as ref_table, 'M' || k as name, case branch when 'broken' then 'SUM(' || model || '[' || size when 'ratio' then '[Measure ' || h || '] * ' || (k % 3 + 1)"
     " when 'calc' then 'CALCULATE(SUM(' || model || '[' || size || ']), ' || model || '[' || size || '] > ' || (k % 3) || '.0)' else case k % 4 when 0 then 'SUM ( ' || model || '[' || size || '] )'"
     " when 1 then 'sum(' || lower(model) || '[' || size || '])' when 2 then 'SUM(''' || model || '''[' || size || ']) // in all'"
     " else 'SUM(' || chr(10) || chr(9) || '''' || model || ''' /* sizes */ [' || size || ']' || chr(10) || ')' end end as expression, fmt as format_string, is_hidden from c"
