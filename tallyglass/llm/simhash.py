@@ -293,7 +293,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = near_duplicates(docs, id_col, text_col)
     scratch = Scratch(docs.sparkSession, "simhash")
     kept = scratch.save(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).select(F.col("doc_id").alias("_id"), "n"))
-    out = docs.join(kept, docs[id_col].cast("long") == F.col("_id"), "left_semi")
+    # both sides grow with the input, so this is no broadcast at any size
+    out = docs.join(kept.hint("merge"), docs[id_col].cast("long") == F.col("_id"), "left_semi")
     if kept.where("n > 1").limit(1).count():
         out = out.dropDuplicates([id_col])
     return out.unionByName(docs.where(F.col(id_col).isNull()))

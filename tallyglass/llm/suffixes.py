@@ -322,7 +322,8 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     scratch = Scratch(docs.sparkSession, "suffixes")
     found = repeats(docs, id_col, text_col, scratch).where("later")
     spans = scratch.save(found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("_spans")).withColumnRenamed("doc_id", "_of"))
-    joined = docs.join(spans, docs[id_col].cast("long") == F.col("_of"), "left").drop("_of")
+    # both sides grow with the input, so this is no broadcast at any size
+    joined = docs.join(spans.hint("merge"), docs[id_col].cast("long") == F.col("_of"), "left").drop("_of")
     names = docs.columns
     where = names.index(text_col)
     length = names.index(length_col) if length_col in names else None
