@@ -2,18 +2,21 @@
 
 Suffixes are kept only at minimiser positions: of every SPAN word 4-grams in a row, the one with the least hash. As
 that choice depends on the words alone, two copies of a passage keep the same places. A passage of MIN_WORDS words
-has such a place among its first SPAN words, and at least CORE words of it follow there.
+(a window) has such a place among its first SPAN words, its owner, and at least CORE words of it follow there.
 
-1. Suffixes whose CORE words occur nowhere else have no neighbour to compare with and go.
-2. The others are sorted over the cluster by their words (CORE words by hash, then the following ones), and each is
-   compared with its two neighbours, and with the first suffix of its CORE words.
-3. A match is extended to the left and to the right word by word. If it reaches MIN_WORDS words, it is a repeat.
+1. Suffixes whose CORE words occur nowhere else own no window that repeats and go.
+2. The others carry the hashes of the windows they own. Equal windows have equal owners, so the windows of one core
+   meet in one task; those of a core with very many suffixes are sorted over the cluster instead.
+3. Each window is linked to the first and the last of its equals (by doc_id, then position) and to the next one, as far
+   as they don't overlap it. If any other place of it is apart from it, the first or the last is.
+4. A document's windows that overlap or touch are one passage.
+
+So a passage is found however frequent the words inside it are.
 
 Each repeat names an earlier occurrence (of smaller doc_id, then position). Removing every passage that has one
 keeps one copy of each: an earlier occurrence either stays or has a still earlier one.
 
-A suffix carries its CORE words as a 64-bit hash and the SPAN - 1 words on either side as 16-bit hashes, so a
-repeat's end is a word too far in one of 65536 cases.
+Cores and windows are told by 64-bit hashes.
 
 Rules for odd input: null and short texts have no repeats; rows that repeat a doc_id with the same text are one
 document; a null doc_id takes no part and its text is left alone; an empty table gives an empty result; other columns
@@ -31,12 +34,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, as_bytes, map_arrow, slices
+from .simhash import _whole_groups
 
 MIN_WORDS = 50
 GRAM = 4
 SPAN = 20
 CORE = MIN_WORDS - SPAN + 1
-SIDE = SPAN - 1
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -76,7 +79,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def minimisers(codes: np.ndarray) -> np.ndarray:
-    """Positions whose gram is the least of some SPAN grams in a row."""
+    """For every SPAN grams in a row, the position of the least."""
     grams = len(codes) - GRAM + 1
     if grams < SPAN:
         return np.empty(0, dtype=np.int64)
@@ -85,42 +88,42 @@ def minimisers(codes: np.ndarray) -> np.ndarray:
         g += codes[j : j + grams] * key
     g = _mix(g)
     view = np.lib.stride_tricks.sliding_window_view(g, SPAN)
-    best = view.argmin(1) + np.arange(len(view))
-    return best[np.append(True, best[1:] != best[:-1])]
+    return view.argmin(1) + np.arange(len(view))
+
+
+def _sums(codes: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(codes) + 1, dtype=np.uint64)
+    np.cumsum(codes * _power(_BASE, len(codes)), out=sums[1:])
+    return sums
 
 
-def suffixes(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """(positions, hashes of the CORE words from there, codes of all words); None for a text without a suffix."""
+def _hashes(sums: np.ndarray, at: np.ndarray, words: int) -> np.ndarray:
+    """Hashes of so many words from each place on."""
+    return _mix((sums[at + words] - sums[at]) * _power(_INVERSE, len(sums))[at]).view(np.int64)
+
+
+def suffixes(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """(positions, hashes of the CORE words from there, first window owned, sums to hash from); None for a text without a suffix."""
     words = text.split() if text else []
     n = len(words)
     if n < MIN_WORDS:
         return None
     codes = word_codes(words)
-    at = minimisers(codes)
-    at = at[at + CORE <= n]
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(codes * _power(_BASE, n), out=sums[1:])
-    core = _mix((sums[at + CORE] - sums[at]) * _power(_INVERSE, n)[at])
-    return at, core.view(np.int64), codes
-
+    owner = minimisers(codes)[: n - MIN_WORDS + 1]
+    first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    at, sums = owner[first], _sums(codes)
+    return at, _hashes(sums, at, CORE), first, sums
 
-def _sides(codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """16-bit hashes of the SIDE words before (nearest first) and after the CORE words; 0 beyond the text."""
-    n = len(codes)
-    short = np.zeros(n + 2 * SIDE, dtype=">u2")
-    short[SIDE : SIDE + n] = np.maximum(codes >> np.uint64(48), 1)
-    steps = np.arange(SIDE)
-    return short[(at + SIDE - 1)[:, None] - steps], short[(at + SIDE + CORE)[:, None] + steps]
 
+def _pack(hashes: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    offsets = np.zeros(len(sizes) + 1, dtype=np.int32)
+    np.cumsum(sizes * 8, out=offsets[1:])
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(hashes.tobytes())])
 
-def _pack(side: np.ndarray) -> pa.Array:
-    n = len(side)
-    offsets = np.arange(n + 1, dtype=np.int32) * (2 * SIDE)
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(side).tobytes())])
 
-
-def _unpack(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=">u2").reshape(-1, SIDE)
+def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each range, one after another."""
+    return np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
 def _core_rows(docs: DataFrame) -> DataFrame:
@@ -141,8 +144,8 @@ def _core_rows(docs: DataFrame) -> DataFrame:
     return map_arrow(docs, run, "h long, doc_id long, pos int")
 
 
-def _with_sides(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text, at (the positions and hashes that matter)."""
+def _with_windows(docs: DataFrame) -> DataFrame:
+    """docs: doc_id, text, at (the positions, hashes and heat that matter). start: the first of the windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -151,80 +154,96 @@ def _with_sides(docs: DataFrame) -> DataFrame:
                 found = suffixes(text)
                 if found is None:
                     continue
-                at, core, codes = found
-                want = np.array(sorted((w["pos"], w["h"]) for w in wanted), dtype=np.int64).reshape(-1, 2)
+                at, core, first, sums = found
+                want = np.array(sorted((w["pos"], w["h"], w["hot"]) for w in wanted), dtype=np.int64).reshape(-1, 3)
                 slot = np.minimum(np.searchsorted(at, want[:, 0]), len(at) - 1)
-                slot = slot[(at[slot] == want[:, 0]) & (core[slot] == want[:, 1])]
+                same = (at[slot] == want[:, 0]) & (core[slot] == want[:, 1])
+                slot, hot = slot[same], want[same, 2]
                 if len(slot):
-                    parts.append((np.full(len(slot), i), core[slot], at[slot], *_sides(codes, at[slot])))
+                    sizes = np.append(first[1:], len(sums) - MIN_WORDS)[slot] - first[slot]
+                    parts.append((core[slot], hot, np.full(len(slot), i), first[slot], sizes, _hashes(sums, _ranges(first[slot], sizes), MIN_WORDS)))
             if parts:
-                ids, h, pos, left, right = (np.concatenate(x) for x in zip(*parts))
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids), pa.array(pos.astype(np.int32)), _pack(left), _pack(right)], names=["h", "doc_id", "pos", "left", "right"])
+                h, hot, ids, start, sizes, hashes = (np.concatenate(x) for x in zip(*parts))
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(hot == 1), pa.array(ids), pa.array(start.astype(np.int32)), _pack(hashes, sizes)], names=["h", "hot", "doc_id", "start", "windows"])
 
-    return map_arrow(docs, run, "h long, doc_id long, pos int, left binary, right binary")
+    return map_arrow(docs, run, "h long, hot boolean, doc_id long, start int, windows binary")
 
 
-#: Rows of the sorted suffixes that are compared at once.
+#: Suffixes of a core that a task compares by itself, and rows of sorted windows that are compared at once.
 CHUNK_ROWS = 50_000
-_FOUND = "edge boolean, h long, doc_id long, pos int, left binary, right binary, start int, end int, other_doc_id long, other_start int, later boolean"
+#: Suffixes that a task gathers before it compares whole groups.
+GATHER_ROWS = 20_000
+_SPAN_NAMES = ["doc_id", "start", "end", "other_doc_id", "later"]
+_FOUND = "g long, doc_id long, start int, end int, other_doc_id long, later boolean"
+
+
+def _windows(part: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, doc_id, start) of every window of the suffixes."""
+    packed = part.column("windows").to_pylist()
+    sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 8
+    g = np.frombuffer(b"".join(packed), dtype=np.int64)
+    return g, np.repeat(part.column("doc_id").to_numpy(), sizes), _ranges(part.column("start").to_numpy().astype(np.int64), sizes)
+
+
+def _compare(g: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[list[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Passages (doc_id, start, end, other_doc_id, later), and the windows that must still meet those of other chunks."""
+    order = np.lexsort((start, doc, g))
+    g, doc, start = g[order], doc[order], start[order]
+    fresh = np.append(True, (g[1:] != g[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1]))
+    g, doc, start = g[fresh], doc[fresh], start[fresh]
+    n = len(g)
+    new = np.append(True, g[1:] != g[:-1])
+    run = np.cumsum(new) - 1
+    firsts = np.flatnonzero(new)
+    lasts = np.append(firsts[1:], n) - 1
+    each, first, last = np.arange(n), firsts[run], lasts[run]
+    follow = np.minimum(each + 1, last)
 
+    def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (doc[a] != doc[b]) | (np.abs(start[a] - start[b]) >= MIN_WORDS)
 
-def _reach(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many words in a row are the same."""
-    same = (a == b) & (a != 0)
-    return np.where(same.all(1), SIDE, same.argmin(1))
+    later, near = apart(first, each), apart(each, follow)
+    earlier = near | apart(each, last)
+    found = [_merged(doc[m], start[m], doc[o[m]], flag) for m, o, flag in ((later, first, True), (earlier, np.where(near, follow, last), False))]
+    # rows that lack a link are less than MIN_WORDS words from their run's first or last row
+    open_ = ((run == 0) | (run == run[-1])) & ~(later & earlier)
+    return [np.concatenate(x) for x in zip(*found)], (g[open_], doc[open_], start[open_])
 
 
-def _compare(chunk: pa.Table) -> pa.RecordBatch:
-    """Repeats among sorted suffixes, and the suffixes that must still meet those of other chunks."""
-    h, doc, pos = (chunk.column(c).to_numpy() for c in ("h", "doc_id", "pos"))
-    fresh = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1]))
-    if not fresh.all():
-        chunk = chunk.filter(pa.array(fresh))
-        h, doc, pos = h[fresh], doc[fresh], pos[fresh]
-    left, right = _unpack(chunk.column("left")), _unpack(chunk.column("right"))
-    n = len(h)
-    new = np.append(True, h[1:] != h[:-1])
-    run = np.cumsum(new) - 1
-    order = np.lexsort((pos, doc, run))
-    leader = order[np.flatnonzero(new)]  # as each run keeps its place, its first row by doc_id and position
-    a = np.concatenate([np.flatnonzero(~new) - 1, leader[run]])
-    b = np.concatenate([np.flatnonzero(~new), np.arange(n)])
-    keep = a != b
-    a, b = a[keep], b[keep]
-    lead, follow = _reach(left[a], left[b]), _reach(right[a], right[b])
-    size = lead + CORE + follow
-    good = (size >= MIN_WORDS) & ((doc[a] != doc[b]) | (np.abs(pos[a].astype(np.int64) - pos[b]) >= size))
-    a, b, lead, size = a[good], b[good], lead[good], size[good]
-    after = (doc[b] > doc[a]) | ((doc[b] == doc[a]) & (pos[b] > pos[a]))
-    x, y = np.concatenate([a, b]), np.concatenate([b, a])
-    lead, size, later = np.tile(lead, 2), np.tile(size, 2), np.concatenate([~after, after])
-    edges = np.unique([0, n - 1, leader[0], leader[-1]])
-    m, k = len(x), len(edges)
-
-    def both(values: np.ndarray, kind: pa.DataType) -> pa.Array:
-        return pa.concat_arrays([pa.array(values, kind), pa.nulls(k, kind)])
-
-    def one(values: pa.Array) -> pa.Array:
-        return pa.concat_arrays([pa.nulls(m, values.type), values])
-
-    start, other = pos[x] - lead, pos[y] - lead
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.arange(m + k) >= m),
-            one(pa.array(h[edges])),
-            pa.array(np.concatenate([doc[x], doc[edges]])),
-            one(pa.array(pos[edges], pa.int32())),
-            one(_pack(left[edges])),
-            one(_pack(right[edges])),
-            both(start.astype(np.int32), pa.int32()),
-            both((start + size).astype(np.int32), pa.int32()),
-            both(doc[y], pa.int64()),
-            both(other.astype(np.int32), pa.int32()),
-            both(later, pa.bool_()),
-        ],
-        names=[f.split()[0] for f in _FOUND.split(", ")],
-    )
+def _merged(doc: np.ndarray, start: np.ndarray, other: np.ndarray, later: bool) -> tuple[np.ndarray, ...]:
+    """Windows that overlap or touch as one."""
+    order = np.lexsort((start, doc))
+    doc, start, other = doc[order], start[order], other[order]
+    if not len(doc):
+        return doc, start, start, other, np.empty(0, dtype=bool)
+    new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + MIN_WORDS)))
+    end = start[np.append(new[1:], len(doc)) - 1] + MIN_WORDS
+    return doc[new], start[new], end, np.minimum.reduceat(other, new), np.full(len(new), later)
+
+
+def _spans(found: list[np.ndarray]) -> list[pa.Array]:
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
+    return [pa.array(x.astype(np.int32) if k == pa.int32() else x, k) for x, k in zip(found, kinds)]
+
+
+def _in_groups(level: DataFrame) -> DataFrame:
+    """Passages of the suffixes whose cores' groups fit a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _whole_groups(batches, ["h"], GATHER_ROWS):
+            yield pa.RecordBatch.from_arrays(_spans(_compare(*_windows(part))[0]), names=_SPAN_NAMES)
+
+    return map_arrow(level.repartition("h").sortWithinPartitions("h"), run, _FOUND.removeprefix("g long, "))
+
+
+def _single_windows(level: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                g, doc, start = _windows(batch)
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(doc), pa.array(start.astype(np.int32))], names=["g", "doc_id", "start"])
+
+    return map_arrow(level, run, "g long, doc_id long, start int")
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
@@ -239,45 +258,54 @@ def _chunks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _neighbours(sorted_over: DataFrame, chunk_rows: int) -> DataFrame:
+def _in_chunks(sorted_over: DataFrame, chunk_rows: int) -> DataFrame:
+    """Passages of sorted windows; rows with g are windows that must still meet others."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches, chunk_rows):
-            yield _compare(chunk)
+            found, (g, doc, start) = _compare(chunk.column("g").to_numpy(), chunk.column("doc_id").to_numpy(), chunk.column("start").to_numpy().astype(np.int64))
+            spans, m, k = _spans(found), len(found[0]), len(g)
+            still = [pa.array(doc, pa.int64()), pa.array(start, pa.int32()), *(pa.nulls(k, x.type) for x in spans[2:])]
+            columns = [pa.concat_arrays([x, y]) for x, y in zip(spans, still)]
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(g, pa.int64())]), *columns], names=["g", *_SPAN_NAMES])
 
     return map_arrow(sorted_over, run, _FOUND)
 
 
 def matches(docs: DataFrame, scratch: Scratch, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """doc_id, start, end (words), other_doc_id, other_start, later: both sides of every match that was found.
+    """doc_id, start, end (words), other_doc_id, later: passages with an earlier and with a later occurrence.
 
-    Each chunk of the sorted suffixes hands on at most four rows, which are sorted and compared in the same way until
-    one chunk holds them, so neighbours and first suffixes meet across tasks and no group is gathered in one.
+    Windows of a core with more than chunk_rows suffixes are sorted over the cluster. Each chunk hands on the windows
+    of its first and last group that lack a link, a bounded number, which are sorted and compared in the same way until
+    one chunk holds them; so the first and last of a group meet across tasks and no group is gathered in one.
     """
     rows = scratch.save(_core_rows(docs))
-    twice = scratch.save(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
-    per_doc = rows.join(twice, "h", "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("pos", "h")).alias("at"))
-    level = scratch.save(_with_sides(docs.join(per_doc, "doc_id").select("doc_id", "text", "at")))
+    twice = scratch.save(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > chunk_rows).alias("hot")))
+    per_doc = rows.join(twice, "h").groupBy("doc_id").agg(F.collect_set(F.struct("pos", "h", "hot")).alias("at"))
+    level = scratch.save(_with_windows(docs.join(per_doc, "doc_id").select("doc_id", "text", "at")))
     scratch.drop(rows, twice)
-    found: list[DataFrame] = []
-    order = ["h", "right", "doc_id", "pos"]
-    size = level.count()
-    while size:
-        last = size <= chunk_rows
-        dealt = level.coalesce(1) if last else level.repartitionByRange(*order)
-        done = scratch.save(_neighbours(dealt.sortWithinPartitions(*order), max(chunk_rows, 1)))
+    out = scratch.save(_in_groups(level.where("not hot").select("h", "doc_id", "start", "windows")))
+    order = ["g", "doc_id", "start"]
+    hot = level.where("hot")
+    if not hot.limit(1).count():
         scratch.drop(level)
-        found.append(done.where("not edge").select("doc_id", "start", "end", "other_doc_id", "other_start", "later"))
+        return out
+    windows = scratch.save(_single_windows(hot.select("doc_id", "start", "windows")))
+    scratch.drop(level)
+    size, at_once = windows.count(), max(chunk_rows, 1)
+    while True:
+        last = size <= at_once
+        dealt = windows.coalesce(1) if last else windows.repartitionByRange(*order)
+        done = scratch.save(_in_chunks(dealt.sortWithinPartitions(*order), at_once))
+        scratch.drop(windows)
+        out = out.union(done.where("g is null").select(out.columns))
         if last:
-            break
-        edges = done.where("edge").select("h", "doc_id", "pos", "left", "right")
-        fewer = edges.count()
-        level, size = edges, (fewer if fewer < size else 0)
-    if not found:
-        return docs.sparkSession.createDataFrame([], "doc_id long, start int, end int, other_doc_id long, other_start int, later boolean")
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out
+            return out
+        windows = done.where("g is not null").select(order)
+        fewer = windows.count()
+        if 2 * fewer > size:  # chunks that hardly hold more than they hand on
+            at_once *= 2
+        size = fewer
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:

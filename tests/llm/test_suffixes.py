@@ -84,3 +84,28 @@ def test_cut():
     assert suffixes.cut(b" a b\n c d ", [(1, 3)]) == b" a d "
     assert suffixes.cut("é b c".encode(), [(0, 1), (2, 3)]) == b"b "
     assert suffixes.cut(b"a b", [(0, 2)]) == b""
+
+
+@pytest.mark.parametrize("chunk_rows", [50_000, 40])
+@pytest.mark.parametrize("size", [31, 40, 49])
+def test_frequent_runs_inside_rarer_passages(spark, size, chunk_rows):
+    """A run of under 50 words in many documents, of which a few share the words around it too."""
+    run = words(size, 1)
+    texts = {d: " ".join(words(25, 100 + d) + run + words(25, 10_000 + d)) for d in range(600)}
+    planted = set()
+    for k in range(12):
+        left, right = words(25, 50_000 + k), words(25, 60_000 + k)
+        most = 50 - size + 2
+        shared = [(most, 0), (0, most), (most // 2, most - most // 2)][k % 3]
+        for d in (37 * k + 5, 37 * k + 20, 599 - k):
+            w = texts[d].split()
+            w[25 - shared[0] : 25] = left[25 - shared[0] :]
+            w[25 + size : 25 + size + shared[1]] = right[: shared[1]]
+            texts[d] = " ".join(w)
+            planted.add(d)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = defaultdict(set)
+    for r in suffixes.repeats(docs, chunk_rows=chunk_rows).collect():
+        got[r.doc_id] |= set(range(r.start_word, r.end_word))
+    expected = covered_by_brute(texts)
+    assert planted <= set(expected) and dict(got) == expected
