@@ -288,9 +288,138 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp")
 
 
+# The pipeline's stage: near copies by the Jaccard similarity of their shingles ------------------------------------
+
+#: Words of a shingle, and the least similarity of near copies.
+NEAR_SHINGLE = 5
+NEAR = 0.8
+#: Bands of minima, and minima in each: a pair of similarity 0.8 agrees on a band in all but 2 of 10,000 cases.
+BANDS = 16
+MINIMA = 4
+
+_draw = np.random.default_rng(SEED)
+_TURNS = _draw.integers(0, 1 << 64, BANDS * MINIMA, dtype=np.uint64)
+_FACTORS = _draw.integers(0, 1 << 64, BANDS * MINIMA, dtype=np.uint64) | np.uint64(1)
+_MINIMUM_KEYS = _draw.integers(0, 1 << 64, MINIMA, dtype=np.uint64) | np.uint64(1)
+_BAND_KEYS = _draw.integers(0, 1 << 64, BANDS, dtype=np.uint64)
+
+
+def shingle_set(text: bytes | None) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, NEAR_SHINGLE), dtype=np.uint64))
+
+
+def set_digest(found: np.ndarray) -> int:
+    """A signed 64-bit name of a set of shingles."""
+    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).view(np.int64))
+
+
+def band_keys(found: np.ndarray) -> np.ndarray:
+    """One key for each band; two sets agree on a band's key if they have its minima in common."""
+    least = np.full(BANDS * MINIMA, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(found), 4096):
+        np.minimum(least, ((found[at : at + 4096, None] ^ _TURNS) * _FACTORS).min(0), out=least)
+    x = (least.reshape(BANDS, MINIMA) * _MINIMUM_KEYS).sum(1, dtype=np.uint64) ^ _BAND_KEYS
+    x = (x ^ (x >> np.uint64(32))) * _FACTORS[0]
+    return (x ^ (x >> np.uint64(29))).view(np.int64)
+
+
+def similar_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links (positions) that join all of these sorted sets that are similar, as trees and not as pairs."""
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    left = np.arange(len(sets))
+    out: list[tuple[int, int]] = []
+    while len(left) > 1:
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            at = queue.pop()
+            near = left[(NEAR * sizes[left] <= sizes[at]) & (NEAR * sizes[at] <= sizes[left]) & (sizes[left] > 0)]
+            if not len(near) or not sizes[at]:
+                continue
+            flat = np.concatenate([sets[i] for i in near])
+            slot = np.minimum(np.searchsorted(sets[at], flat), sizes[at] - 1)
+            starts = np.cumsum(sizes[near]) - sizes[near]
+            both = np.add.reduceat((sets[at][slot] == flat).astype(np.int64), starts)
+            near = near[both >= NEAR * (sizes[near] + sizes[at] - both)]
+            out += [(int(i), at) for i in near]
+            queue += near.tolist()
+            left = left[~np.isin(left, near)]
+    return out
+
+
+def _signatures(docs: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            if batch.num_rows:
+                sets = [shingle_set(x) for x in as_bytes(batch)]
+                keys = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, np.concatenate([band_keys(x) for x in sets]))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_digest(x) for x in sets], pa.int64()), keys], names=["doc_id", "digest", "bands"])
+
+    return map_arrow(docs, run, "doc_id long, digest long, bands array<long>")
+
+
+def _sets_by_band(docs: DataFrame) -> DataFrame:
+    """docs: doc_id, text, digest, bands (those that others have too). A row for each band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
+            keys, names, packed = [], [], []
+            for text, name, bands in zip(as_bytes(batch), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                found = shingle_set(text)
+                if set_digest(found) == name:
+                    keys += bands
+                    names += [name] * len(bands)
+                    packed += [found.tobytes()] * len(bands)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(names, pa.int64()), pa.array(packed, pa.binary())], names=["key", "digest", "shingles"])
+
+    return map_arrow(docs, run, "key long, digest long, shingles binary")
+
+
+def _links_of_bands(rows: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _whole_groups(batches, ["key"], 10_000):
+            key, name = part.column("key").to_numpy(), part.column("digest").to_numpy()
+            packed = part.column("shingles").to_pylist()
+            order = np.lexsort((name, key))
+            order = order[np.append(True, (key[order][1:] != key[order][:-1]) | (name[order][1:] != name[order][:-1]))]
+            cut = np.append(np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])), len(order))
+            src, dst = [], []
+            for a, b in zip(cut[:-1], cut[1:]):
+                group = order[a:b]
+                for i, j in similar_links([np.frombuffer(packed[k], dtype=np.uint64) for k in group]):
+                    src.append(name[group[i]])
+                    dst.append(name[group[j]])
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+
+    return map_arrow(rows.repartition("key").sortWithinPartitions("key"), run, "src long, dst long")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id (the smallest doc_id) of every row with an id. Texts of similarity NEAR or more are linked.
+
+    Texts with the same shingles are one node. Nodes that agree on a band are compared by all their shingles, so no
+    link is a guess; each band's nodes are compared in one task, and nodes that are joined already are not compared again.
+    """
+    scratch = Scratch(docs.sparkSession, "similar")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    rows = scratch.save(_signatures(texts))
+    nodes = scratch.save(rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
+    keys = nodes.select("digest", "doc_id", F.explode("bands").alias("key"))
+    shared = scratch.save(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    wanted = scratch.save(keys.join(shared, "key").groupBy("digest", "doc_id").agg(F.collect_list("key").alias("bands")))
+    # both sides grow with the input, so this is no broadcast at any size
+    sets = _sets_by_band(texts.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "digest", "bands"))
+    links = scratch.save(_links_of_bands(sets).distinct())
+    components = connected_components(links, scratch)
+    named = nodes.select("digest", "doc_id").join(components.withColumnRenamed("node", "digest"), "digest", "left")
+    named = scratch.save(named.select("digest", "doc_id", F.coalesce("component", "digest").alias("component")))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    by_digest = scratch.save(named.join(least, "component").select("digest", "component_id"))
+    return rows.select("doc_id", "digest").join(by_digest.hint("merge"), "digest").select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id names its component. Rows without an id stay; of rows that repeat an id, one stays."""
-    found = near_duplicates(docs, id_col, text_col)
+    """The rows of docs whose id names its component of similar documents. Rows without an id stay; of rows that repeat an id, one stays."""
+    found = similar_documents(docs, id_col, text_col)
     scratch = Scratch(docs.sparkSession, "simhash")
     kept = scratch.save(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).select(F.col("doc_id").alias("_id"), "n"))
     # both sides grow with the input, so this is no broadcast at any size
