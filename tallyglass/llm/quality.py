@@ -1,6 +1,6 @@
 """Quality rules: word and line counts, and bands of compression ratios.
 
-Every text is compressed as a whole and in chunks of a fixed size. Repetitive text compresses too well, noise
+Every text is compressed as a whole and in chunks of a fixed size, the last of which ends where the text ends. Repetitive text compresses too well, noise
 too badly; what is normal depends on the length, so each length band has its own two limits.
 
 Rules for odd input: a null text has no words, fails the base rule and is not kept; repeated rows are each judged;
@@ -25,21 +25,27 @@ BLANKS = b" \t\n\x0b\x0c\r"
 WINDOW = 8
 LEVEL = 3
 CHUNK = 4096
+#: Bytes of a frame around data that zstandard stores as it is; least ratios are of what is packed without them.
+FRAME = 10
 #: (bytes at most, least ratio, greatest ratio) of whole texts; ratios grow with the length.
 BANDS = (
-    (100, 0.0, 1.8),
-    (250, 0.0, 2.3),
-    (500, 0.9, 2.8),
-    (1000, 1.2, 3.2),
-    (2000, 1.35, 3.6),
-    (4000, 1.45, 4.0),
-    (8000, 1.45, 4.4),
+    (100, 1.08, 1.8),
+    (150, 1.12, 2.3),
+    (200, 1.15, 2.3),
+    (250, 1.19, 2.3),
+    (350, 1.25, 2.8),
+    (500, 1.28, 2.8),
+    (700, 1.35, 3.2),
+    (1000, 1.4, 3.2),
+    (2000, 1.5, 3.6),
+    (4000, 1.5, 4.0),
+    (8000, 1.5, 4.4),
     (16000, 1.5, 4.8),
     (1 << 62, 1.5, 6.0),
 )
-#: The same for full chunks, and the share of them that may lie outside.
+#: The same for chunks (full ones, and the last bytes of a text), and the share of them that may lie outside.
 CHUNK_BAND = (1.4, 4.5)
-CHUNK_SHARE = 0.4
+CHUNK_SHARE = 0.1
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
@@ -98,8 +104,11 @@ def judge(text: bytes | None, packer: zstandard.ZstdCompressor) -> Verdict:
     lines = [line for line in text.split(b"\n") if line.strip()]
     repeats = repeat_words(words)
     failed = len(words) < 20 or 100 * repeats > 30 * len(words)
-    ratio = len(text) / len(packer.compress(text)) if text else None
-    whole = range(0, len(text) - CHUNK + 1, CHUNK)
+    packed = len(packer.compress(text)) if text else 0
+    ratio = len(text) / packed if text else None
+    whole = list(range(0, len(text) - CHUNK + 1, CHUNK))
+    if len(text) > CHUNK and len(text) % CHUNK:
+        whole.append(len(text) - CHUNK)
     odd = 0
     for at in whole:
         r = CHUNK / len(packer.compress(text[at : at + CHUNK]))
@@ -113,7 +122,7 @@ def judge(text: bytes | None, packer: zstandard.ZstdCompressor) -> Verdict:
         low, high = next((a, b) for most, a, b in BANDS if len(text) <= most)
         if ratio > high:
             reason = "repetitive"
-        elif ratio < low:
+        elif len(text) < low * (packed - FRAME):
             reason = "incompressible"
         elif odd > CHUNK_SHARE * len(whole):
             reason = "odd chunks"

@@ -63,3 +63,25 @@ def test_tables(spark):
     kept = quality.keep(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 1, 4]
     assert quality.measure(docs.limit(0)).count() == quality.keep(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [150, 200, 250, 300, 400, 500, 700, 1000])
+def test_short_noise(n):
+    packer = zstandard.ZstdCompressor(level=3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    for seed in range(20):
+        rng = random.Random(seed)
+        size = n // 22
+        text = " ".join("".join(rng.choices(letters, k=size - 1)) for _ in range(n // size)).encode()
+        assert abs(len(text) - n) < size + 1 and quality.judge(text, packer).reason == "incompressible"
+
+
+def test_junk_chunk_and_junk_tail():
+    packer = zstandard.ZstdCompressor(level=3)
+    text = prose(8000, 3)
+    rng = random.Random(1)
+    junk = " ".join("".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=60)) for _ in range(70))
+    chunk = (text[:4096] + junk[:4096] + text[4096:8192]).encode()
+    tail = (text[:8192] + junk[:4000]).encode()
+    assert quality.judge(text[:12288].encode(), packer).kept
+    assert quality.judge(chunk, packer).reason == quality.judge(tail, packer).reason == "odd chunks"
