@@ -109,3 +109,13 @@ def test_frequent_runs_inside_rarer_passages(spark, size, chunk_rows):
         got[r.doc_id] |= set(range(r.start_word, r.end_word))
     expected = covered_by_brute(texts)
     assert planted <= set(expected) and dict(got) == expected
+
+
+@pytest.mark.parametrize("chunk_rows", [50_000, 1])
+@pytest.mark.parametrize("size", [50, 60, 68])
+def test_passage_three_times_in_a_row(spark, size, chunk_rows):
+    text = " ".join(words(30, 1) + words(size, 2) * 3 + words(30, 3))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    rows = suffixes.repeats(docs, chunk_rows=chunk_rows).where("later").collect()
+    assert [(r.start_word, r.end_word) for r in rows] == [(30 + size, 30 + 3 * size)]
+    assert [r.text for r in suffixes.remove(docs).collect()] == [" ".join(words(30, 1) + words(size, 2) + words(30, 3))]
