@@ -1,10 +1,13 @@
 """WARC archives: a deterministic sharded writer and a reader.
 
 Pages are dealt into ranges of page_id of about equal size; the cuts come from histograms of all ids, so they depend
-on the data alone. Each task sorts its ranges, writes every record as a gzip member of its own (headers, record ids
-and digests follow from the page; dates from a parameter) and rolls a range's files by their compressed size. Files
-get temporary names under the task attempt; the driver renames those of the attempts that Spark took, then writes the
-manifest in the same way. An attempt that dies leaves nothing behind that counts.
+on the data alone. There are MOST_RANGES ranges at most, so what the driver holds has a bound: beyond MOST_RANGES *
+RANGE_BYTES the ranges grow, not their number. An id whose rows exceed a range is split over several by the hash of
+digest and url. Each task takes one range, sorts it, writes every record as a gzip member of its own (headers, record
+ids and digests follow from the page; dates from a parameter) and rolls its files by their compressed size. Files get
+temporary names under the task attempt; a second job renames those of the attempts that Spark took, then the driver
+writes the manifest and renames it. Each step can be done again: an attempt that dies leaves nothing behind that
+counts, and a commit that broke off is finished by the next one.
 
 Of records with equal payloads of LEAST_REVISIT bytes or more, that with the largest page_id is the response and the
 others are revisits of it.
@@ -23,6 +26,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -35,9 +39,12 @@ from pyspark.sql import functions as F
 from .common import Scratch, map_arrow, prepare, slices
 
 LEAST_REVISIT = 1000
-#: Bytes of payload in a range, and compressed bytes of a file.
+#: Bytes of payload in a range at least, ranges at most, and compressed bytes of a file at most.
 RANGE_BYTES = 64 << 20
-FILE_BYTES = 32 << 20
+MOST_RANGES = 1 << 14
+FILE_BYTES = 256 << 20
+#: What a record has besides its payload, about.
+HEAD_BYTES = 600
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LEVEL = 6
@@ -124,52 +131,88 @@ def members(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
 # Ranges ---------------------------------------------------------------------------------------------------------
 
 
-def range_cuts(sizes: DataFrame, target: int = RANGE_BYTES) -> list[int]:
-    """Upper ends of the page_id ranges but the last. sizes: page_id, bytes.
+_UNSIGNED = (1 << 64) - 1
+_SIGN = 1 << 63
+_FINER = 6
+
+
+def _cell(shift: int) -> Column:
+    """The cell of page_id among cells of 2**shift ids; ids in their order are unsigned numbers with the sign bit turned."""
+    turned = F.col("page_id").bitwiseXOR(F.lit(-_SIGN))
+    return F.shiftrightunsigned(turned, shift) if shift else turned
 
-    A histogram of the ids gives the driver a few rows for each range; buckets that are too large get one of their own.
+
+def range_cells(sizes: DataFrame, target: int) -> list[tuple[int, int, int]]:
+    """(first id, ids, bytes) of cells that hold target bytes at most, or a single id. sizes: page_id, bytes.
+
+    A histogram of the ids gives the driver a few rows for each range; cells that are too large get one of their own.
+    Widths are powers of two, so finer cells lie inside coarser ones.
     """
-    low, high, total = sizes.agg(F.min("page_id"), F.max("page_id"), F.sum("bytes")).first()
+    known = sizes.where("page_id is not null")
+    low, high, total = known.agg(F.min("page_id"), F.max("page_id"), F.sum("bytes")).first()
     if low is None:
         return []
-    wide = int(high) - int(low) + 1
-    cells = min(wide, max(64, 4 * -(-int(total) // target)))
-    width = -(-wide // cells)
-    spot = F.expr(f"(cast(page_id as decimal(20,0)) - {low}) div {width}").alias("b")
-    level = [(int(low) + r.b * width, width, int(r.s)) for r in sizes.where("page_id is not null").groupBy(spot).agg(F.sum("bytes").alias("s")).collect()]
+    shift = max(0, (int(high) - int(low)).bit_length() - max(6, (4 * int(total) // target).bit_length()))
+    level = known.groupBy(_cell(shift).alias("b")).agg(F.sum("bytes").alias("s")).collect()
     done: list[tuple[int, int, int]] = []
     while True:
-        large = [x for x in level if x[2] > target and x[1] > 1]
-        done += [x for x in level if not (x[2] > target and x[1] > 1)]
+        large = [r.b for r in level if r.s > target and shift]
+        done += [((((r.b & _UNSIGNED) << shift) & _UNSIGNED) - _SIGN, 1 << shift, int(r.s)) for r in level if not (r.s > target and shift)]
         if not large:
-            break
-        width = large[0][1]
-        finer = -(-width // 64)
-        of = sizes.sparkSession.createDataFrame([(a,) for a, _, _ in large], "a long")  # fewer rows than ranges
-        start = F.expr(f"cast({low} + ((cast(page_id as decimal(20,0)) - {low}) div {width}) * cast({width} as decimal(20,0)) as long)")
-        inside = sizes.where("page_id is not null").withColumn("a", start).join(F.broadcast(of), "a")
-        cell = F.expr(f"(cast(page_id as decimal(20,0)) - a) div {finer}").alias("b")
-        level = [(r.a + r.b * finer, finer, int(r.s)) for r in inside.groupBy("a", cell).agg(F.sum("bytes").alias("s")).collect()]
-    cuts, held = [], 0
-    for start, _, size in sorted(done):
-        if held and held + size > target:
-            cuts.append(start - 1)
-            held = 0
+            return sorted(done)
+        finer = max(0, shift - _FINER)
+        of = sizes.sparkSession.createDataFrame([(b,) for b in large], "b long")  # fewer rows than ranges
+        inside = known.withColumn("b", _cell(shift)).join(F.broadcast(of), "b")
+        level = inside.groupBy(_cell(finer).alias("b")).agg(F.sum("bytes").alias("s")).collect()
+        shift = finer
+
+
+@dataclass(frozen=True)
+class Ranges:
+    """firsts: the least id of each range (of all ranges of an id that fills several); shard: its number; parts: over how many it is split."""
+
+    firsts: np.ndarray
+    shard: np.ndarray
+    parts: np.ndarray
+    null_parts: int
+    count: int
+
+
+def ranges(sizes: DataFrame, range_bytes: int = RANGE_BYTES, most: int = MOST_RANGES) -> Ranges:
+    """Null ids come first, then the ids in order."""
+    facts = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("page_id").isNull(), F.col("bytes"))), F.lit(0))).first()
+    target = max(range_bytes, -(-int(facts[0]) // most))
+    null_parts = -(-int(facts[1]) // target)
+    firsts, shard, parts = [], [], []
+    at, held = null_parts, 0
+    for first, _, size in range_cells(sizes, target):
+        if not held or held + size > target:
+            firsts.append(first)
+            shard.append(at)
+            parts.append(max(1, -(-size // target)))
+            at, held = at + parts[-1], 0
         held += size
-    return cuts
+    return Ranges(*(np.array(x, dtype=np.int64) for x in (firsts, shard, parts)), null_parts, max(at, 1))
 
 
-def _range_of(cuts: list[int]) -> Column:
-    ends = np.array(cuts, dtype=np.int64)
+def range_cuts(sizes: DataFrame, target: int = RANGE_BYTES) -> list[int]:
+    """Upper ends of the page_id ranges but the last."""
+    return [int(x) - 1 for x in ranges(sizes, target).firsts[1:]]
+
+
+def _shard_of(plan: Ranges) -> Column:
+    """The shard of a row (page_id, digest, url)."""
 
     @F.pandas_udf("long")
-    def of(ids: pd.Series) -> pd.Series:
-        known = ids.notna().to_numpy()
-        out = np.zeros(len(ids), dtype=np.int64)
-        out[known] = np.searchsorted(ends, ids[known].to_numpy().astype(np.int64), side="left")
+    def of(ids: pd.Series, salt: pd.Series) -> pd.Series:
+        known, salt = ids.notna().to_numpy(), salt.to_numpy()
+        out = salt % max(plan.null_parts, 1)
+        if known.any():
+            slot = np.searchsorted(plan.firsts, ids[known].to_numpy().astype(np.int64), side="right") - 1
+            out[known] = plan.shard[slot] + salt[known] % plan.parts[slot]
         return pd.Series(out)
 
-    return of(F.col("page_id"))
+    return of(F.col("page_id"), F.pmod(F.xxhash64("digest", "url"), F.lit(1 << 40)))
 
 
 # Writing ----------------------------------------------------------------------------------------------------------
@@ -179,7 +222,7 @@ class _File:
     def __init__(self, system: pafs.FileSystem, folder: str, shard: int, number: int, date: str):
         self.name = f"part-{shard:06d}-{number:05d}.warc.gz"
         self.path, self.shard, self.number = f"{folder}/{self.name}", shard, number
-        self.stream, self.digest, self.bytes, self.records = system.open_output_stream(self.path), hashlib.sha1(), 0, 0
+        self.stream, self.digest, self.bytes, self.records = system.open_output_stream(self.path, compression=None), hashlib.sha1(), 0, 0
         self._put(member(_info(self.name, date)))
 
     def _put(self, data: bytes) -> None:
@@ -204,19 +247,19 @@ def write(pages: DataFrame, out: str, *, file_bytes: int = FILE_BYTES, range_byt
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html"))
     rows = rows.withColumns({"digest": F.sha1(F.col("html").cast("binary")), "bytes": F.octet_length("html").cast("long")})
     facts = scratch.save(rows.select("page_id", "url", "digest", "bytes"))
-    cuts = range_cuts(facts.select("page_id", (F.col("bytes") + 600).alias("bytes")), range_bytes)
+    shards = ranges(facts.select("page_id", (F.col("bytes") + HEAD_BYTES).alias("bytes")), range_bytes)
     twice = facts.where(f"bytes >= {LEAST_REVISIT} and page_id is not null").groupBy("digest").agg(
         F.count("*").alias("n"), F.max("page_id").alias("refers_to"), F.max_by("url", "page_id").alias("refers_url")
     )
     chosen = scratch.save(twice.where("n > 1").drop("n"))
     # plan rows travel with the pages and come just before theirs, so the pages themselves are dealt out once
-    plan = facts.where(f"bytes >= {LEAST_REVISIT}").select("page_id", "digest").join(chosen, "digest").where("page_id <> refers_to").distinct()
+    plan = facts.where(f"bytes >= {LEAST_REVISIT}").select("page_id", "digest", "url").join(chosen, "digest").where("page_id <> refers_to").distinct()
     blank = F.lit(None)
     both = rows.select("page_id", "digest", F.lit(1).alias("kind"), "url", "html", "bytes", blank.cast("long").alias("refers_to"), blank.cast("string").alias("refers_url")).unionByName(
-        plan.select("page_id", "digest", F.lit(0).alias("kind"), blank.cast("string").alias("url"), blank.cast("string").alias("html"), blank.cast("long").alias("bytes"), "refers_to", "refers_url")
+        plan.select("page_id", "digest", F.lit(0).alias("kind"), "url", blank.cast("string").alias("html"), blank.cast("long").alias("bytes"), "refers_to", "refers_url")
     )
-    both = both.withColumn("shard", _range_of(cuts))
-    dealt = both.repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+    both = both.withColumn("shard", _shard_of(shards))
+    dealt = both.repartitionById(shards.count, F.col("shard").cast("int")).sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = pafs.FileSystem.from_uri(out)
@@ -243,21 +286,32 @@ def write(pages: DataFrame, out: str, *, file_bytes: int = FILE_BYTES, range_byt
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), kinds)], names=[x.split()[0] for x in _MANIFEST.split(", ")])
 
     written = scratch.save(map_arrow(dealt, run, _MANIFEST))  # rows of attempts that ended well, and of no others
-    files = sorted(written.collect(), key=lambda r: (r.shard, r.number))
-    return commit(out, [r.asDict() for r in files])
+    scratch.drop(facts, chosen)
+    return commit(written, out)
+
 
+def commit(written: DataFrame, out: str) -> dict:
+    """Gives the files of written their names and then writes the manifest, each by a rename. Doing it again changes nothing."""
 
-def commit(out: str, files: list[dict]) -> dict:
-    """Gives the files their names and then writes the manifest, each by a rename. Doing it again changes nothing."""
+    def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = pafs.FileSystem.from_uri(out)
+        system.create_dir(root, recursive=True)
+        for batch in batches:
+            for f in batch.to_pylist():
+                final = f"{root}/{f['name']}"
+                if system.get_file_info(f["path"]).type != pafs.FileType.NotFound:
+                    system.move(f["path"], final)
+                elif (found := system.get_file_info(final)).type == pafs.FileType.NotFound or found.size != f["bytes"]:
+                    raise FileNotFoundError(f["name"])
+            yield batch
+
+    done = map_arrow(written, rename, _MANIFEST)
+    # a row for each file: one or two for each range, and one for each FILE_BYTES
+    files = sorted(done.collect(), key=lambda r: (r.shard, r.number))
+    manifest = {"version": 1, "records": sum(f.records for f in files), "files": [{k: f[k] for k in ("name", "records", "bytes", "sha1")} for f in files]}
     system, root = pafs.FileSystem.from_uri(out)
     system.create_dir(root, recursive=True)
-    for f in files:
-        if system.get_file_info(f["path"]).type != pafs.FileType.NotFound:
-            system.move(f["path"], f"{root}/{f['name']}")
-        elif system.get_file_info(f"{root}/{f['name']}").size != f["bytes"]:
-            raise FileNotFoundError(f["name"])
-    manifest = {"version": 1, "records": sum(f["records"] for f in files), "files": [{k: f[k] for k in ("name", "records", "bytes", "sha1")} for f in files]}
-    with system.open_output_stream(f"{root}/MANIFEST.json.tmp") as stream:
+    with system.open_output_stream(f"{root}/MANIFEST.json.tmp", compression=None) as stream:
         stream.write(json.dumps(manifest, indent=1).encode())
     system.move(f"{root}/MANIFEST.json.tmp", f"{root}/MANIFEST.json")
     if system.get_file_info(f"{root}/_temporary").type != pafs.FileType.NotFound:
@@ -282,7 +336,7 @@ def read(spark: SparkSession, folder: str, *, payloads: bool = True) -> DataFram
         system, root = pafs.FileSystem.from_uri(folder)
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                with system.open_input_stream(f"{root}/{name}") as stream:
+                with system.open_input_stream(f"{root}/{name}", compression=None) as stream:
                     rows: list[tuple] = []
                     for record in members(stream):
                         if row := _row(record, payloads):

@@ -75,3 +75,61 @@ def open_bytes(data):
     import io
 
     return io.BytesIO(data)
+
+
+def test_a_plain_gzip_reader_sees_the_records(spark, tmp_path):
+    pages = spark.createDataFrame(rows(), "page_id long, url string, html string")
+    manifest = warc.write(pages, f"file://{tmp_path}/a", file_bytes=4000, range_bytes=20_000)
+    seen = 0
+    for f in manifest["files"]:
+        with gzip.open(tmp_path / "a" / f["name"]) as stream:
+            records = stream.read().split(b"WARC/1.1\r\n")[1:]
+        assert len(records) == f["records"] + 1 and records[0].startswith(b"WARC-Type: warcinfo\r\n")
+        data = (tmp_path / "a" / f["name"]).read_bytes()
+        at = [i for i in range(len(data)) if data.startswith(b"\x1f\x8b\x08", i)]
+        starts = [i for i in at if gzip.decompress(data[i:]).startswith(b"WARC/1.1\r\n")] if len(data) < 5000 else None
+        assert starts is None or len(starts) == len(records)
+        seen += f["records"]
+    assert seen == len(rows()) == manifest["records"]
+
+
+def test_commit_can_be_done_again(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "x").write_bytes(b"12345")
+    rows_ = [(0, 0, f"{tmp_path}/t/x", "part-0.warc.gz", 1, 5, "d")]
+    written = spark.createDataFrame(rows_, warc._MANIFEST)
+    out = f"file://{tmp_path}/done"
+    first = warc.commit(written, out)
+    assert warc.commit(written, out) == first
+    assert sorted(os.listdir(tmp_path / "done")) == ["MANIFEST.json", "part-0.warc.gz"]
+    (tmp_path / "done" / "part-0.warc.gz").write_bytes(b"1")
+    with pytest.raises(Exception, match="part-0"):
+        warc.commit(written, out)
+
+
+def test_cells_lie_inside_one_another(spark):
+    ids = [*range(-(2**63), -(2**63) + 700), *range(5, 1305), *range(2**63 - 700, 2**63)]
+    frame = spark.createDataFrame([(i, 10) for i in ids], "page_id long, bytes long")
+    cells = warc.range_cells(frame, 50)
+    assert sum(c[2] for c in cells) == 10 * len(ids) and max(c[2] for c in cells) <= 50
+    for (a, n, s), (b, _, _) in zip(cells, cells[1:]):
+        assert a + n <= b and s == 10 * sum(a <= i < a + n for i in ids)
+
+
+def test_an_id_that_fills_several_ranges_is_split(spark):
+    rows_ = [(i, 10) for i in range(100)] + [(50, 10)] * 1000 + [(None, 10)] * 500
+    plan = warc.ranges(spark.createDataFrame(rows_, "page_id long, bytes long"), 500)
+    assert plan.null_parts == 10 and plan.parts.max() >= 20 and plan.count <= 45
+    assert warc.ranges(spark.createDataFrame(rows_, "page_id long, bytes long"), 500, most=4).count <= 9
+    table = [(i % 7 if i % 2 else 3, f"u{i}", f"<{i % 50}>" * 300) for i in range(400)] + [(None, f"n{i}", "x" * 1200) for i in range(100)]
+    pages = spark.createDataFrame(table, "page_id long, url string, html string")
+    got = warc.read(spark, _written(pages), payloads=False)
+    assert sorted(map(tuple, got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=str) == wanted(table)
+
+
+def _written(pages):
+    from tallyglass.llm.common import Scratch
+
+    out = f"{Scratch(pages.sparkSession, 't').root}/a"
+    warc.write(pages, out, range_bytes=20_000)
+    return out
