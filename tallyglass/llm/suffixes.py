@@ -16,11 +16,13 @@ So a passage is found however frequent the words inside it are.
 Each repeat names an earlier occurrence (of smaller doc_id, then position). Removing every passage that has one
 keeps one copy of each: an earlier occurrence either stays or has a still earlier one.
 
-Cores and windows are told by 64-bit hashes.
+Cores and windows are told by 64-bit hashes. A place is one number: VERSION bits of the text's hash, which tell the
+texts of an id apart, and the word's position in the low 32 bits. So places of unlike texts are never near each other.
 
 Rules for odd input: null and short texts have no repeats; rows that repeat a doc_id with the same text are one
-document; a null doc_id takes no part and its text is left alone; an empty table gives an empty result; other columns
-are ignored by repeats() and returned as they are by remove().
+document, and rows that repeat it with different texts are different documents of that id, in the order of their
+hashes; a null doc_id takes no part and its text is left alone; an empty table gives an empty result; other columns are
+ignored by repeats() and returned as they are by remove(), whatever their names.
 """
 
 from __future__ import annotations
@@ -30,10 +32,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, map_arrow, slices
+from .common import Scratch, as_bytes, fresh_names, map_arrow, slices
 from .simhash import _whole_groups
 
 MIN_WORDS = 50
@@ -41,6 +43,10 @@ GRAM = 4
 SPAN = 20
 CORE = MIN_WORDS - SPAN + 1
 
+#: Bits of a text's hash in a place.
+VERSION = 31
+_WORD = (1 << 32) - 1
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _GRAM_KEYS = [np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -129,44 +135,44 @@ def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def _core_rows(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [(i, s) for i, s in zip(batch.column(0).to_pylist(), map(suffixes, as_bytes(batch))) if s is not None]
+            found = [(i, v, s) for i, v, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), map(suffixes, as_bytes(batch))) if s is not None]
             if found:
-                sizes = [len(s[0]) for _, s in found]
+                sizes = [len(s[0]) for _, _, s in found]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([s[1] for _, s in found])),
-                        pa.array(np.repeat(np.array([i for i, _ in found], dtype=np.int64), sizes)),
-                        pa.array(np.concatenate([s[0] for _, s in found]).astype(np.int32)),
+                        pa.array(np.concatenate([s[1] for _, _, s in found])),
+                        pa.array(np.repeat(np.array([i for i, _, _ in found], dtype=np.int64), sizes)),
+                        pa.array(np.concatenate([s[0] + (v << 32) for _, v, s in found])),
                     ],
                     names=["h", "doc_id", "pos"],
                 )
 
-    return map_arrow(docs, run, "h long, doc_id long, pos int")
+    return map_arrow(docs, run, "h long, doc_id long, pos long")
 
 
 def _with_windows(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text, at (the positions, hashes and heat that matter). start: the first of the windows."""
+    """docs: doc_id, text, version, at (the places, hashes and heat that matter). start: the first of the windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             parts = []
-            for i, text, wanted in zip(batch.column(0).to_pylist(), as_bytes(batch), batch.column(2).to_pylist()):
+            for i, text, version, wanted in zip(batch.column(0).to_pylist(), as_bytes(batch), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 found = suffixes(text)
                 if found is None:
                     continue
                 at, core, first, sums = found
-                want = np.array(sorted((w["pos"], w["h"], w["hot"]) for w in wanted), dtype=np.int64).reshape(-1, 3)
+                want = np.array(sorted((w["pos"] & _WORD, w["h"], w["hot"]) for w in wanted), dtype=np.int64).reshape(-1, 3)
                 slot = np.minimum(np.searchsorted(at, want[:, 0]), len(at) - 1)
                 same = (at[slot] == want[:, 0]) & (core[slot] == want[:, 1])
                 slot, hot = slot[same], want[same, 2]
                 if len(slot):
                     sizes = np.append(first[1:], len(sums) - MIN_WORDS)[slot] - first[slot]
-                    parts.append((core[slot], hot, np.full(len(slot), i), first[slot], sizes, _hashes(sums, _ranges(first[slot], sizes), MIN_WORDS)))
+                    parts.append((core[slot], hot, np.full(len(slot), i), first[slot] + (version << 32), sizes, _hashes(sums, _ranges(first[slot], sizes), MIN_WORDS)))
             if parts:
                 h, hot, ids, start, sizes, hashes = (np.concatenate(x) for x in zip(*parts))
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(hot == 1), pa.array(ids), pa.array(start.astype(np.int32)), _pack(hashes, sizes)], names=["h", "hot", "doc_id", "start", "windows"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(hot == 1), pa.array(ids), pa.array(start), _pack(hashes, sizes)], names=["h", "hot", "doc_id", "start", "windows"])
 
-    return map_arrow(docs, run, "h long, hot boolean, doc_id long, start int, windows binary")
+    return map_arrow(docs, run, "h long, hot boolean, doc_id long, start long, windows binary")
 
 
 #: Suffixes of a core that a task compares by itself, and rows of sorted windows that are compared at once.
@@ -174,7 +180,7 @@ CHUNK_ROWS = 50_000
 #: Suffixes that a task gathers before it compares whole groups.
 GATHER_ROWS = 20_000
 _SPAN_NAMES = ["doc_id", "start", "end", "other_doc_id", "later"]
-_FOUND = "g long, doc_id long, start int, end int, other_doc_id long, later boolean"
+_FOUND = "g long, doc_id long, start long, end long, other_doc_id long, later boolean"
 
 
 def _windows(part: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,7 +188,7 @@ def _windows(part: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, n
     packed = part.column("windows").to_pylist()
     sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 8
     g = np.frombuffer(b"".join(packed), dtype=np.int64)
-    return g, np.repeat(part.column("doc_id").to_numpy(), sizes), _ranges(part.column("start").to_numpy().astype(np.int64), sizes)
+    return g, np.repeat(part.column("doc_id").to_numpy(), sizes), _ranges(part.column("start").to_numpy(), sizes)
 
 
 def _compare(g: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[list[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -222,8 +228,7 @@ def _merged(doc: np.ndarray, start: np.ndarray, other: np.ndarray, later: bool)
 
 
 def _spans(found: list[np.ndarray]) -> list[pa.Array]:
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
-    return [pa.array(x.astype(np.int32) if k == pa.int32() else x, k) for x, k in zip(found, kinds)]
+    return [pa.array(x, k) for x, k in zip(found, [*[pa.int64()] * 4, pa.bool_()])]
 
 
 def _in_groups(level: DataFrame) -> DataFrame:
@@ -241,9 +246,9 @@ def _single_windows(level: DataFrame) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 g, doc, start = _windows(batch)
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(doc), pa.array(start.astype(np.int32))], names=["g", "doc_id", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(doc), pa.array(start)], names=["g", "doc_id", "start"])
 
-    return map_arrow(level, run, "g long, doc_id long, start int")
+    return map_arrow(level, run, "g long, doc_id long, start long")
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
@@ -263,9 +268,9 @@ def _in_chunks(sorted_over: DataFrame, chunk_rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches, chunk_rows):
-            found, (g, doc, start) = _compare(chunk.column("g").to_numpy(), chunk.column("doc_id").to_numpy(), chunk.column("start").to_numpy().astype(np.int64))
+            found, (g, doc, start) = _compare(chunk.column("g").to_numpy(), chunk.column("doc_id").to_numpy(), chunk.column("start").to_numpy())
             spans, m, k = _spans(found), len(found[0]), len(g)
-            still = [pa.array(doc, pa.int64()), pa.array(start, pa.int32()), *(pa.nulls(k, x.type) for x in spans[2:])]
+            still = [pa.array(doc, pa.int64()), pa.array(start, pa.int64()), *(pa.nulls(k, x.type) for x in spans[2:])]
             columns = [pa.concat_arrays([x, y]) for x, y in zip(spans, still)]
             yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(g, pa.int64())]), *columns], names=["g", *_SPAN_NAMES])
 
@@ -273,7 +278,9 @@ def _in_chunks(sorted_over: DataFrame, chunk_rows: int) -> DataFrame:
 
 
 def matches(docs: DataFrame, scratch: Scratch, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """doc_id, start, end (words), other_doc_id, later: passages with an earlier and with a later occurrence.
+    """doc_id, start, end (places), other_doc_id, later: passages with an earlier and with a later occurrence.
+
+    docs: doc_id, text, version.
 
     Windows of a core with more than chunk_rows suffixes are sorted over the cluster. Each chunk hands on the windows
     of its first and last group that lack a link, a bounded number, which are sorted and compared in the same way until
@@ -281,8 +288,9 @@ def matches(docs: DataFrame, scratch: Scratch, chunk_rows: int = CHUNK_ROWS) ->
     """
     rows = scratch.save(_core_rows(docs))
     twice = scratch.save(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > chunk_rows).alias("hot")))
-    per_doc = rows.join(twice, "h").groupBy("doc_id").agg(F.collect_set(F.struct("pos", "h", "hot")).alias("at"))
-    level = scratch.save(_with_windows(docs.join(per_doc, "doc_id").select("doc_id", "text", "at")))
+    version = F.shiftrightunsigned("pos", 32).alias("version")
+    per_doc = rows.join(twice, "h").groupBy("doc_id", version).agg(F.collect_set(F.struct("pos", "h", "hot")).alias("at"))
+    level = scratch.save(_with_windows(docs.join(per_doc, ["doc_id", "version"]).select("doc_id", "text", "version", "at")))
     scratch.drop(rows, twice)
     out = scratch.save(_in_groups(level.where("not hot").select("h", "doc_id", "start", "windows")))
     order = ["g", "doc_id", "start"]
@@ -308,22 +316,31 @@ def matches(docs: DataFrame, scratch: Scratch, chunk_rows: int = CHUNK_ROWS) ->
         size = fewer
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """doc_id, start_word, end_word, n_words, later, other_doc_id: maximal passages of a document that others have too.
+def _version(text: Column) -> Column:
+    return F.xxhash64(text).bitwiseAND(F.lit((1 << VERSION) - 1))
 
-    later: an earlier occurrence exists, and other_doc_id is the smallest that was met; otherwise this is the one to
-    keep. Passages that overlap or touch are one.
-    """
-    scratch = scratch or Scratch(docs.sparkSession, "suffixes")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+
+def _passages(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch, chunk_rows: int) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), _version(text).alias("version")).where("doc_id is not null")
     found = matches(texts, scratch, chunk_rows)
     spans = found.groupBy("doc_id", "later", "start").agg(F.max("end").alias("end"), F.min("other_doc_id").alias("other"))
     w = Window.partitionBy("doc_id", "later").orderBy("start")
     reached = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.withColumn("new", F.coalesce((F.col("start") > reached).cast("int"), F.lit(1)))
     spans = spans.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = spans.groupBy("doc_id", "later", "island").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min("other").alias("other_doc_id"))
-    return out.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "later", "other_doc_id")
+    out = spans.groupBy("doc_id", "later", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("other").alias("other_doc_id"))
+    word = [F.col(c).bitwiseAND(F.lit(_WORD)).cast("int").alias(f"{c}_word") for c in ("start", "end")]
+    return out.select("doc_id", F.shiftrightunsigned("start", 32).alias("version"), *word, (F.col("end") - F.col("start")).cast("int").alias("n_words"), "later", "other_doc_id")
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """doc_id, start_word, end_word, n_words, later, other_doc_id: maximal passages of a document that others have too.
+
+    later: an earlier occurrence exists, and other_doc_id is the smallest that was met; otherwise this is the one to
+    keep. Passages that overlap or touch are one.
+    """
+    return _passages(docs, id_col, text_col, scratch or Scratch(docs.sparkSession, "suffixes"), chunk_rows).drop("version")
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -348,11 +365,14 @@ def _word_starts(text: bytes) -> np.ndarray:
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """docs without the passages that occur earlier; a document with nothing left goes. length_col is set anew if there is one."""
     scratch = Scratch(docs.sparkSession, "suffixes")
-    found = repeats(docs, id_col, text_col, scratch).where("later")
-    spans = scratch.save(found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("_spans")).withColumnRenamed("doc_id", "_of"))
-    # both sides grow with the input, so this is no broadcast at any size
-    joined = docs.join(spans.hint("merge"), docs[id_col].cast("long") == F.col("_of"), "left").drop("_of")
     names = docs.columns
+    of, version, cuts = fresh_names(names, "of", "version", "cuts")
+    found = _passages(docs, id_col, text_col, scratch, CHUNK_ROWS).where("later")
+    spans = found.groupBy(F.col("doc_id").alias(of), F.col("version").alias(version)).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias(cuts))
+    spans = scratch.save(spans)
+    # both sides grow with the input, so this is no broadcast at any size
+    same = (F.col(id_col).cast("long") == F.col(of)) & (_version(F.col(text_col).cast("string")) == F.col(version))
+    joined = docs.join(spans.hint("merge"), same, "left").drop(of, version)
     where = names.index(text_col)
     length = names.index(length_col) if length_col in names else None
 

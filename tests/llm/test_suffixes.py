@@ -119,3 +119,47 @@ def test_passage_three_times_in_a_row(spark, size, chunk_rows):
     rows = suffixes.repeats(docs, chunk_rows=chunk_rows).where("later").collect()
     assert [(r.start_word, r.end_word) for r in rows] == [(30 + size, 30 + 3 * size)]
     assert [r.text for r in suffixes.remove(docs).collect()] == [" ".join(words(30, 1) + words(size, 2) + words(30, 3))]
+
+
+def test_texts_of_one_id_are_told_apart(spark):
+    a, b, c = (" ".join(words(120, k)) for k in (1, 2, 3))
+    rows = [(0, a), (1, a), (1, b), (2, c), (2, b), (2, b)]
+    docs = spark.createDataFrame([(i, t, "x", 1, [2], len(t)) for i, t in rows], "doc_id long, text string, of string, version int, cuts array<int>, n_chars int")
+    left = suffixes.remove(docs)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id, r.text, r.of, r.n_chars) for r in left.collect()) == sorted((i, t, "x", len(t)) for i, t in [(0, a), (1, b), (2, c)])
+    found = {(r.doc_id, r.n_words, r.later, r.other_doc_id) for r in suffixes.repeats(docs).collect()}
+    assert found == {(0, 120, False, 1), (1, 120, True, 0), (1, 120, False, 2), (2, 120, True, 1)}
+
+
+@pytest.mark.parametrize("chunk_rows", [50_000, 3])
+def test_neighbours_that_almost_repeat(spark, chunk_rows):
+    """Two documents share 50 words; many share 49 of them, on either side."""
+    run = words(50, 1)
+    texts = {500: " ".join(words(30, 2) + run + words(30, 3)), 501: " ".join(words(30, 4) + run + words(30, 5))}
+    for d in range(120):
+        part = run[:49] if d % 2 else run[1:]
+        texts[d] = " ".join(words(30, 100 + d) + part + words(30, 1000 + d))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = defaultdict(set)
+    for r in suffixes.repeats(docs, chunk_rows=chunk_rows).collect():
+        got[r.doc_id] |= set(range(r.start_word, r.end_word))
+    assert dict(got) == covered_by_brute(texts) and {500, 501} <= set(got)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_corpora_of_almost_repeats(spark, seed):
+    """Passages put together from few pieces of 20 to 35 words, so most of what is shared is just too short or just long enough."""
+    rng = random.Random(seed)
+    pieces = [words(rng.choice([20, 25, 30, 35]), 100 * seed + k) for k in range(12)]
+    texts = {}
+    for d in range(150):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            parts += rng.choice(pieces) + (words(rng.randrange(1, 4), 7000 + d) if rng.random() < 0.5 else [])
+        texts[d] = " ".join(parts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = defaultdict(set)
+    for r in suffixes.repeats(docs, chunk_rows=rng.choice([5, 40, 50_000])).collect():
+        got[r.doc_id] |= set(range(r.start_word, r.end_word))
+    assert dict(got) == covered_by_brute(texts)
