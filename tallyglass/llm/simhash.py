@@ -1,8 +1,12 @@
 """SimHash near-duplicates: 64-bit fingerprints, a binary-trie self-join and connected components.
 
+The nodes of the graph are fingerprints; ids come in at the end only.
+
 Rules for odd input: a null text counts as empty and has fingerprint zero, like a text without words; repeated
-rows are all returned; a null doc_id is returned with its group's component but never names one (a group
-without any id has a null component); an empty table gives an empty result; other columns are ignored.
+rows are all returned; rows that repeat an id with different texts are each linked by their own fingerprints; a null
+doc_id is returned with its group's component, and links through it count, but never names one (a group without any
+id has a null component); an empty table gives an empty result; other columns are ignored by near_duplicates() and
+returned as they are by keep_one(), whatever their names.
 """
 
 from __future__ import annotations
@@ -12,16 +16,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, connected_components, map_arrow, slices
+from .common import Scratch, as_bytes, connected_components, fresh_names, map_arrow, slices
 
 SHINGLE = 4
 BUDGET = 4
 SEED = 42
-#: Fingerprints of one subtree that a task works on at once; larger subtrees are dealt out as node pairs.
+#: Fingerprints of a pair of nodes that a task takes at once; larger pairs go down STEP more bits in the cluster.
 SUBTREE_ROWS = 200_000
+STEP = 4
 #: Node pairs of a traversal that are expanded at once.
 FRONTIER = 1 << 18
 #: A pair of nodes with at most so many pairs of leaves is compared directly.
@@ -82,7 +87,7 @@ def trie_links(keys: np.ndarray, roots: list[tuple[int, int, int, int]], depth:
     """
     n = len(keys)
     label = np.arange(n, dtype=np.int64)
-    if not roots:
+    if not len(roots):
         return label
     start = np.asarray(roots, dtype=np.int64).reshape(-1, 4)
     first = np.broadcast_to(np.asarray(diff, dtype=np.int64), (len(start),))
@@ -174,32 +179,56 @@ def fingerprint_links(nodes: DataFrame, scratch: Scratch, budget: int = BUDGET,
 
     Five tries hold the same keys, each turned so that another block of bits comes first. Two keys within the
     budget agree on a whole block, so each trie starts at that block's nodes with no error spent, and the subtrees
-    go to tasks. A subtree of more than subtree_rows keys goes on in the cluster: its pairs of nodes some levels
-    down, at most budget errors apart, are dealt out instead.
+    go to tasks. A pair of nodes with more than subtree_rows keys goes down in the cluster: its children are counted,
+    pairs of them that differ in more than budget bits are dropped, and those that are still too large go down again.
     """
     blocks = _blocks(budget)
     widths = [w for _, w in blocks]
     turned = [f"shiftleft(fp, {a}) | shiftrightunsigned(fp, {64 - a})" if a else "fp" for a, _ in blocks]
-    structs = ", ".join(f"struct({k} as band, {t} as key, shiftrightunsigned({t}, {64 - w}) as top)" for k, (t, w) in enumerate(zip(turned, widths)))
-    rows = nodes.select("node", F.explode(F.expr(f"array({structs})")).alias("t")).select("node", "t.band", "t.key", "t.top")
-    counts = rows.groupBy("band", "top").agg(F.count("*").alias("n")).where(F.col("n") > subtree_rows)
-    hot = scratch.save(counts.withColumn("deep", F.ceil(F.log2(F.col("n") / subtree_rows)).cast("int")))
-    deepest = hot.agg(F.max("deep")).first()[0] or 0
-    plain = rows.withColumns({"deep": F.lit(0), "xa": F.lit(0).cast("long"), "xb": F.lit(0).cast("long")})
-    if deepest:
-        # at most 5 * n / subtree_rows rows: small by construction
-        rows = rows.join(F.broadcast(hot.select("band", "top", "deep")), ["band", "top"], "left")
-        masks = [[m for m in range(1 << d) if m.bit_count() <= budget] for d in range(deepest + 1)]
-        choice = F.element_at(F.array(*[F.array(*[F.lit(m).cast("long") for m in ms]) for ms in masks]), F.col("deep") + 1)
-        own = F.expr(f"shiftrightunsigned(shiftleft(key, element_at(array({', '.join(map(str, widths))}), band + 1)), 64 - deep)")
-        dealt = rows.where("deep is not null").withColumn("own", own).withColumn("mask", F.explode(choice)).withColumn("other", F.col("own").bitwiseXOR(F.col("mask")))
-        dealt = dealt.select("node", "band", "key", "top", "deep", F.least("own", "other").alias("xa"), F.greatest("own", "other").alias("xb"))
-        plain = rows.where("deep is null").drop("deep").withColumns({"deep": F.lit(0), "xa": F.lit(0).cast("long"), "xb": F.lit(0).cast("long")}).select(dealt.columns).union(dealt)
-    tasks = plain.select("band", "top", "deep", "xa", "xb", "key", "node")
-    tasks = tasks.repartition("band", "top", "xa", "xb").sortWithinPartitions("band", "top", "xa", "xb")
+    structs = ", ".join(f"struct({k} as band, {t} as key)" for k, t in enumerate(turned))
+    rows = nodes.select("node", F.explode(F.expr(f"array({structs})")).alias("t")).select("node", "t.band", "t.key")
+    width = f"element_at(array({', '.join(map(str, widths))}), band + 1)"
+
+    def prefix(level: int) -> Column:
+        return F.expr(f"shiftrightunsigned(key, 64 - least(64, {width} + {STEP * level}))")
+
+    tops = rows.groupBy("band", prefix(0).alias("a")).agg(F.count("*").alias("n"))
+    big = scratch.save(tops.where(F.col("n") > subtree_rows).select("band", "a", F.col("a").alias("b"), F.col("n").alias("ma"), F.col("n").alias("mb")))
+    zero = F.lit(0).cast("long")
+    tasks = rows.select("band", F.lit(-1).alias("level"), prefix(0).alias("top"), zero.alias("bin"), F.lit(False).alias("hot"), zero.alias("heavy"), "key", "node")
+    level = 0
+    if not big.isEmpty():
+        of = big.select("band", F.col("a").alias("top"))
+        # no more of them than blocks have values: 5 * 2**13 rows for the usual budget
+        tasks = tasks.join(F.broadcast(of) if max(widths) <= 16 else of, ["band", "top"], "left_anti").select(tasks.columns)
+    inside = rows
+    while not big.isEmpty():
+        ends = big.select("band", F.explode(F.array("a", "b")).alias("x")).distinct()
+        inside = scratch.save(inside.withColumn("x", prefix(level)).join(ends, ["band", "x"]).select("node", "band", "key"))
+        counts = scratch.save(inside.groupBy("band", prefix(level).alias("x"), prefix(level + 1).alias("c")).agg(F.count("*").alias("n")))
+        one, two = (counts.select("band", F.col("x").alias(k), F.col("c").alias(f"c{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
+        pairs = big.join(one, ["band", "a"]).join(two, ["band", "b"])
+        pairs = pairs.where(f"(a <> b or ca <= cb) and bit_count(ca ^ cb) <= {budget} and (ca <> cb or na > 1)")
+        pairs = scratch.save(pairs.withColumn("small", F.when(F.expr("ca = cb"), F.col("na")).otherwise(F.expr("na + nb")) <= subtree_rows))
+        # A task has children of one node, and of those nodes that it is paired with so many that their keys fit (bin -1:
+        # of itself). Children with few keys share a task; each larger one has its own, with its smaller partners.
+        hot = F.greatest("na", "nb") * (1 << STEP) > subtree_rows
+        heavy = F.when(hot, F.expr("if(na >= nb, ca, cb)")).otherwise(zero)
+        sides = {"top": "if(ma >= mb, a, b)", "far": "if(ma >= mb, b, a)", "child": "if(ma >= mb, cb, ca)", "size": "if(ma >= mb, nb, na)"}
+        small = pairs.where("small").select("band", hot.alias("hot"), heavy.alias("heavy"), "ca", "cb", *(F.expr(e).alias(k) for k, e in sides.items()))
+        group = ["band", "top", "hot", "heavy"]
+        sizes = small.where("top <> far").dropDuplicates([*group, "child"]).groupBy(*group).agg(F.ceil(F.sum("size") / subtree_rows).alias("bins"))
+        bin_ = F.when(F.expr("top = far"), -1).otherwise(F.pmod(F.xxhash64("far"), F.col("bins"))).cast("long")
+        of = small.join(sizes, group, "left").select(*group, bin_.alias("bin"), F.explode(F.array("ca", "cb")).alias("x")).distinct()
+        dealt = inside.withColumn("x", prefix(level + 1)).join(of, ["band", "x"]).withColumn("level", F.lit(level))
+        tasks = tasks.union(dealt.select(tasks.columns))
+        big = scratch.save(pairs.where("not small").select("band", F.col("ca").alias("a"), F.col("cb").alias("b"), F.col("na").alias("ma"), F.col("nb").alias("mb")))
+        level += 1
+    by = ["band", "level", "top", "bin", "hot", "heavy"]
+    tasks = tasks.repartition(*by).sortWithinPartitions(*by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _whole_groups(batches, ["band", "top", "xa", "xb"]):
+        for part in _whole_groups(batches, by):
             yield _stars(part, widths, budget)
 
     return map_arrow(tasks, run, "src long, dst long")
@@ -231,8 +260,8 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], by: list[str], least: int =
 
 
 def _stars(part: pa.Table, widths: list[int], budget: int) -> pa.RecordBatch:
-    band, top, deep, xa, xb, key, node = (part.column(c).to_numpy() for c in ("band", "top", "deep", "xa", "xb", "key", "node"))
-    key = key.view(np.uint64) if key.dtype == np.int64 else key.astype(np.uint64)
+    band, level, top, number, hot, heavy, key, node = (part.column(c).to_numpy() for c in ("band", "level", "top", "bin", "hot", "heavy", "key", "node"))
+    key, top, heavy = (x.astype(np.int64).view(np.uint64) for x in (key, top, heavy))
     src: list[np.ndarray] = []
     dst: list[np.ndarray] = []
 
@@ -244,7 +273,7 @@ def _stars(part: pa.Table, widths: list[int], budget: int) -> pa.RecordBatch:
         dst.append(least[label][far])
 
     for k, width in enumerate(widths):
-        cold = np.flatnonzero((band == k) & (deep == 0))
+        cold = np.flatnonzero((band == k) & (level < 0))
         if len(cold):
             order = cold[np.argsort(key[cold], kind="stable")]
             keys, nodes = key[order], node[order]
@@ -253,25 +282,43 @@ def _stars(part: pa.Table, widths: list[int], budget: int) -> pa.RecordBatch:
             ends = np.append(cut[1:], len(keys))
             wide = ends - cut > 1
             emit(nodes, trie_links(keys, list(zip(cut[wide], ends[wide], cut[wide], ends[wide])), width, 0, budget))
-        hot = np.flatnonzero((band == k) & (deep > 0))
-        if len(hot):
-            groups = np.stack([top[hot], xa[hot], xb[hot]], 1)
-            _, inverse = np.unique(groups, axis=0, return_inverse=True)
-            for g in range(inverse.max() + 1):
-                m = hot[inverse.ravel() == g]
-                order = m[np.argsort(key[m], kind="stable")]
-                keys, nodes, d = key[order], node[order], int(deep[order[0]])
-                a, b = int(xa[order[0]]), int(xb[order[0]])
-                own = (keys << np.uint64(width)) >> np.uint64(64 - d)
-                mid = int(np.searchsorted(own, np.uint64(a), side="right"))
-                roots = [(0, len(keys), 0, len(keys))] if a == b else [(0, mid, mid, len(keys))]
-                if len(keys) > 1 and roots[0][0] < roots[0][1] and roots[0][2] < roots[0][3]:
-                    emit(nodes, trie_links(keys, roots, width + d, (a ^ b).bit_count(), budget))
+    deep = np.flatnonzero(level >= 0)
+    if len(deep):
+        same = np.ones(len(deep) - 1, dtype=bool)
+        for x in (band, level, top, number, hot, heavy):
+            same &= x[deep][1:] == x[deep][:-1]
+        cut = np.append(np.flatnonzero(np.append(True, ~same)), len(deep))
+        for a, b in zip(cut[:-1], cut[1:]):
+            m = deep[a:b]
+            m = m[np.argsort(key[m], kind="stable")]
+            above = widths[band[m[0]]] + STEP * int(level[m[0]])
+            depth = min(64, above + STEP)
+            roots, errors = _roots(key[m], depth, depth - above, top[m[0]], number[m[0]] < 0, heavy[m[0]] if hot[m[0]] else None, budget)
+            if len(roots):
+                emit(node[m], trie_links(key[m], roots, depth, errors, budget))
     s = np.concatenate(src) if src else np.empty(0, np.int64)
     d = np.concatenate(dst) if dst else np.empty(0, np.int64)
     return pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(d, pa.int64())], names=["src", "dst"])
 
 
+def _roots(keys: np.ndarray, depth: int, bits: int, top: np.uint64, alone: bool, heavy: np.uint64 | None, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes at depth, a child of top with one of another node or, if alone, of top (heavy is in each, if it is given); and their errors."""
+    nodes = keys >> np.uint64(64 - depth)
+    lo = np.flatnonzero(np.append(True, nodes[1:] != nodes[:-1]))
+    hi, nodes = np.append(lo[1:], len(keys)), nodes[lo]
+    own = nodes >> np.uint64(bits) == top
+    i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(own), np.flatnonzero(own if alone else ~own), indexing="ij"))
+    errors = np.bitwise_count(nodes[i] ^ nodes[j]).astype(np.int64)
+    good = errors <= budget
+    if alone:
+        good &= i <= j
+    if heavy is not None:
+        good &= (nodes[i] == heavy) | (nodes[j] == heavy)
+    i, j, errors = i[good], j[good], errors[good]
+    low = np.minimum(i, j), np.maximum(i, j)
+    return np.stack([lo[low[0]], hi[low[0]], lo[low[1]], hi[low[1]]], 1), errors
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, subtree_rows: int = SUBTREE_ROWS) -> DataFrame:
     """doc_id, fingerprint, component_id, fp of every row of docs.
 
@@ -279,12 +326,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.save(fingerprints(docs, id_col, text_col))
-    nodes = scratch.save(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    links = fingerprint_links(nodes.where("node is not null"), scratch, budget, subtree_rows)
-    components = connected_components(links, scratch)
-    named = scratch.save(
-        nodes.join(components, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    )
+    nodes = scratch.save(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    links = fingerprint_links(nodes.select("fp", F.col("fp").alias("node")), scratch, budget, subtree_rows)
+    components = connected_components(links, scratch).withColumnRenamed("node", "fp")
+    of = scratch.save(nodes.join(components, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")))
+    ids = of.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = scratch.save(of.join(ids, "component").select("fp", "component_id"))
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp")
 
 
@@ -347,14 +394,16 @@ def similar_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
+    """docs: doc_id, text, version. digest and bands of each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             if batch.num_rows:
                 sets = [shingle_set(x) for x in as_bytes(batch)]
                 keys = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, np.concatenate([band_keys(x) for x in sets]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_digest(x) for x in sets], pa.int64()), keys], names=["doc_id", "digest", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([set_digest(x) for x in sets], pa.int64()), keys], names=["doc_id", "version", "digest", "bands"])
 
-    return map_arrow(docs, run, "doc_id long, digest long, bands array<long>")
+    return map_arrow(docs, run, "doc_id long, version long, digest long, bands array<long>")
 
 
 def _sets_by_band(docs: DataFrame) -> DataFrame:
@@ -394,36 +443,46 @@ def _links_of_bands(rows: DataFrame) -> DataFrame:
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, component_id (the smallest doc_id) of every row with an id. Texts of similarity NEAR or more are linked.
+    """doc_id, version (the text's hash), component_id (the smallest doc_id) and component of every row with an id.
 
-    Texts with the same shingles are one node. Nodes that agree on a band are compared by all their shingles, so no
-    link is a guess; each band's nodes are compared in one task, and nodes that are joined already are not compared again.
+    Texts of similarity NEAR or more are linked. Texts with the same shingles are one node. Nodes that agree on a band
+    are compared by all their shingles, so no link is a guess.
     """
     scratch = Scratch(docs.sparkSession, "similar")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("version")).where("doc_id is not null")
     rows = scratch.save(_signatures(texts))
-    nodes = scratch.save(rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
-    keys = nodes.select("digest", "doc_id", F.explode("bands").alias("key"))
+    # one row stands for all with its shingles
+    nodes = scratch.save(rows.groupBy("digest").agg(F.min(F.struct("doc_id", "version")).alias("x"), F.first("bands").alias("bands")).select("digest", "x.doc_id", "x.version", "bands"))
+    keys = nodes.select("digest", "doc_id", "version", F.explode("bands").alias("key"))
     shared = scratch.save(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    wanted = scratch.save(keys.join(shared, "key").groupBy("digest", "doc_id").agg(F.collect_list("key").alias("bands")))
+    wanted = scratch.save(keys.join(shared, "key").groupBy("digest", "doc_id", "version").agg(F.collect_list("key").alias("bands")))
     # both sides grow with the input, so this is no broadcast at any size
-    sets = _sets_by_band(texts.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "digest", "bands"))
+    sets = _sets_by_band(texts.join(wanted.hint("merge"), ["doc_id", "version"]).select("doc_id", "text", "digest", "bands"))
     links = scratch.save(_links_of_bands(sets).distinct())
     components = connected_components(links, scratch)
     named = nodes.select("digest", "doc_id").join(components.withColumnRenamed("node", "digest"), "digest", "left")
     named = scratch.save(named.select("digest", "doc_id", F.coalesce("component", "digest").alias("component")))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_digest = scratch.save(named.join(least, "component").select("digest", "component_id"))
-    return rows.select("doc_id", "digest").join(by_digest.hint("merge"), "digest").select("doc_id", "component_id")
+    by_digest = scratch.save(named.join(least, "component").select("digest", "component", "component_id"))
+    return rows.select("doc_id", "version", "digest").join(by_digest.hint("merge"), "digest").select("doc_id", "version", "component_id", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id names its component of similar documents. Rows without an id stay; of rows that repeat an id, one stays."""
-    found = similar_documents(docs, id_col, text_col)
+    """One row of docs for each component of similar documents: that of the smallest id, then of the smallest text hash.
+
+    Rows without an id stay. Of rows that repeat that id and text one stays.
+    """
     scratch = Scratch(docs.sparkSession, "simhash")
-    kept = scratch.save(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).select(F.col("doc_id").alias("_id"), "n"))
+    found = similar_documents(docs, id_col, text_col)
+    names = docs.columns
+    of, version, n = fresh_names(names, "of", "version", "n")
+    same = found.groupBy("component", "doc_id", "version").agg(F.count("*").alias("n"))
+    first = same.groupBy("component").agg(F.min(F.struct("doc_id", "version", "n")).alias("x"))
+    kept = scratch.save(first.select(F.col("x.doc_id").alias(of), F.col("x.version").alias(version), F.col("x.n").alias(n)))
     # both sides grow with the input, so this is no broadcast at any size
-    out = docs.join(kept.hint("merge"), docs[id_col].cast("long") == F.col("_id"), "left_semi")
-    if kept.where("n > 1").limit(1).count():
-        out = out.dropDuplicates([id_col])
-    return out.unionByName(docs.where(F.col(id_col).isNull()))
+    rows = docs.join(kept.hint("merge"), (F.col(id_col).cast("long") == F.col(of)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(version)))
+    out = rows.where(F.col(n) == 1).select(names)
+    if not kept.where(F.col(n) > 1).isEmpty():
+        out = out.union(rows.where(F.col(n) > 1).dropDuplicates([of, version]).select(names))
+    return out.union(docs.where(F.col(id_col).cast("long").isNull()))

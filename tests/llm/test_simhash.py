@@ -109,3 +109,65 @@ def test_components_of_a_long_chain_and_a_hub(spark):
     e = spark.createDataFrame([*chain, *hub, (None, 3), (4, 4)], "src long, dst long")
     got = {r.node: r.component for r in connected_components(e, Scratch(spark, "t")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{i: 1000 for i in [1000, *range(2000, 2500)]}}
+
+
+def planted(spark, monkeypatch, rows):
+    """near_duplicates() over given fingerprints: rows of doc_id and fp."""
+    frame = spark.createDataFrame([(i, x - (1 << 64) if x >> 63 else x) for i, x in rows], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *_: docs)
+    return frame
+
+
+def test_links_through_rows_without_id(spark, monkeypatch):
+    frame = planted(spark, monkeypatch, [(3, 0), (None, 0b1111), (5, 0b11111111), (6, 0xFFFF0000FFFF0000)])
+    got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(frame).collect()}
+    assert got == {(3, 3), (None, 3), (5, 3), (6, 6)}
+
+
+def test_one_id_with_two_texts_joins_nothing(spark, monkeypatch):
+    frame = planted(spark, monkeypatch, [(1, 0), (1, 0xFFFFFFFFFFFF), (2, 1), (4, 0xFFFFFFFFFFFE)])
+    got = {(r.doc_id, r.fp, r.component_id) for r in simhash.near_duplicates(frame).collect()}
+    assert got == {(1, 0, 1), (2, 1, 1), (1, 0xFFFFFFFFFFFF, 1), (4, 0xFFFFFFFFFFFE, 1)}
+    frame = planted(spark, monkeypatch, [(1, 0), (1, 0xFFFFFFFFFFFF), (0, 1), (4, 0xFFFFFFFFFFFE)])
+    got = {(r.doc_id, r.fp, r.component_id) for r in simhash.near_duplicates(frame).collect()}
+    assert got == {(1, 0, 0), (0, 1, 0), (1, 0xFFFFFFFFFFFF, 1), (4, 0xFFFFFFFFFFFE, 1)}
+
+
+def test_a_hot_cluster_is_split(spark):
+    """Fingerprints that differ from one in 1 to 3 bits, and others: no task gets more than a few times subtree_rows."""
+    rng = np.random.default_rng(5)
+    centre = int(rng.integers(0, 2**63))
+    keys = {centre} | {centre ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 4), replace=False)) for _ in range(8000)}
+    keys |= {int(x) for x in rng.integers(0, 2**63, 2000, dtype=np.uint64)}
+    rows = [(x - (1 << 64) if x >> 63 else x,) * 2 for x in sorted(keys)]
+    scratch = Scratch(spark, "t")
+    nodes = scratch.save(spark.createDataFrame(rows, "fp long, node long"))
+    sizes = []
+    whole = simhash.map_arrow
+
+    def seen(tasks, run, schema):
+        sizes.append(tasks.groupBy("band", "level", "top", "bin", "hot", "heavy").count().agg(F.max("count"), F.sum("count")).first())
+        return whole(tasks, run, schema)
+
+    simhash.map_arrow = seen
+    try:
+        links = simhash.fingerprint_links(nodes, scratch, subtree_rows=1000)
+    finally:
+        simhash.map_arrow = whole
+    got = {r.node: r.component for r in connected_components(links, scratch).collect()}
+    array = np.sort(np.array(sorted(keys), dtype=np.uint64))
+    label = simhash.trie_links(array, [(0, len(array), 0, len(array))], 0)
+    by = {}
+    for x, k in zip(array.view(np.int64).tolist(), label.tolist()):
+        by.setdefault(k, []).append(x)
+    assert got == {x: min(g) for g in by.values() if len(g) > 1 for x in g}
+    assert sizes[0][0] <= 5000 and sizes[0][1] <= 40 * len(keys), sizes
+
+
+def test_keep_one_keeps_unlike_texts_of_one_id(spark):
+    t1, t2, t3 = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(0, t1), (1, t1), (1, t2), (2, t3), (2, t3), (3, None), (None, t1)]
+    docs = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], "doc_id long, text string, of string, version int, _id int")
+    left = simhash.keep_one(docs)
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(0, t1), (1, t2), (2, t3), (3, None), (None, t1)], key=str)
