@@ -3,11 +3,11 @@
 A document's ids end with id 0. Longer documents are cut into full pieces after a first, shorter one. Each piece goes
 where the sum over all gaps of the squared number of open sequences with that gap becomes smallest (the smallest gap
 among equals). Pieces are dealt evenly to tasks, longest first in each, as rows of a few numbers; sequences that stay
-less than nearly full are dissolved and packed again together, as long as that saves any.
+less than nearly full are dissolved and packed again together, in fewer tasks each time, until that saves none.
 
 Rules for odd input: a null text is empty, and an empty text is the single id 0; repeated rows are packed each; a
-null doc_id is kept; an empty table gives an empty result; other columns are ignored. The text of a special token is
-ordinary text.
+null doc_id is kept; an empty table gives an empty result; other columns are ignored. Where a text spells an added
+token of the vocabulary, it is that token, as it is for the tokenizers library.
 """
 
 from __future__ import annotations
@@ -31,7 +31,6 @@ END = 0
 PER_TASK = 16_384
 #: Sequences below this share of the capacity are packed again.
 NEARLY_FULL = 0.985
-ROUNDS = 4
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: No token crosses the bounds of these chunks, so a chunk's ids can be kept.
@@ -49,7 +48,12 @@ class Encoder:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        added = spec.get("added_tokens", [])
+        if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("only plain added tokens are known")
+        special = {t["content"] for t in added}
+        self._added = {t["content"]: np.array([t["id"]], dtype="<u4").tobytes() for t in added}
+        self._find_added = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         to_byte = {c: b for b, c in _byte_chars().items()}
         ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         self._bpe = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -59,6 +63,18 @@ class Encoder:
         return np.array(self._bpe.encode_ordinary(text), dtype="<u4").tobytes()
 
     def __call__(self, text: str | None) -> bytes:
+        """The ids of a text; what lies between added tokens is taken by itself."""
+        if not text:
+            return b""
+        if not self._find_added or not self._find_added.search(text):
+            return self._plain(text)
+        out, at = [], 0
+        for hit in self._find_added.finditer(text):
+            out += [self._plain(text[at : hit.start()]), self._added[hit[0]]]
+            at = hit.end()
+        return b"".join([*out, self._plain(text[at:])])
+
+    def _plain(self, text: str) -> bytes:
         if not text:
             return b""
         if _ODD.search(text):
@@ -195,8 +211,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     scratch.drop(rows)
     least = int(NEARLY_FULL * capacity)
     out: list[DataFrame] = []
-    tasks = -(-count // PER_TASK)
-    for round_no in range(1, ROUNDS):
+    tasks, round_no = -(-count // PER_TASK), 0
+    while True:
+        round_no += 1
         loose = packed.where(F.col("fill") < least)
         n, before = loose.agg(F.count("*"), F.count_if(F.col("offset") == 0)).first()
         if tasks <= 1 or not before:
