@@ -47,6 +47,11 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of all pages, after links between them have been put in."""
+    return urls.judge(urls.linked(table(spark, sf_dir, "pages")))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, compression ratios and verdict of all documents."""
     return quality.measure(table(spark, sf_dir, "documents"))
@@ -64,7 +69,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    found = {name: f for name, f in globals().items() if name.startswith(("op", "url_")) and callable(f)}
 
     def prepared(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +82,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_voronoi_knn": voronoi.ORACLE, "op5_warc": warc.ORACLE, "op7_url_filters": urls.ORACLE}
+    return {"op2_voronoi_knn": voronoi.ORACLE, "op5_warc": warc.ORACLE, "op7_url_filters": urls.ORACLE, "url_aliases": urls.LINKED_ORACLE}

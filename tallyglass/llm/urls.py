@@ -82,12 +82,14 @@ def _absolute() -> Column:
     )
 
 
+def _in_tags(tag: str, link: str) -> Column:
+    return F.transform(F.regexp_extract_all("html", F.lit(tag), F.lit(0)), lambda t: F.regexp_extract(t, link, 1))
+
+
 def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """src, dst (nodes): the canonical link and the redirect of every page that has one."""
+    """src, dst (nodes): all canonical links and redirects of every page."""
     rows = pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).where(F.col("html").rlike("(?i)canonical|refresh"))
-    found = F.array(
-        F.regexp_extract(F.regexp_extract("html", CANONICAL_TAG, 0), HREF, 1), F.regexp_extract(F.regexp_extract("html", REFRESH_TAG, 0), TARGET, 1)
-    )
+    found = F.array_distinct(F.concat(_in_tags(CANONICAL_TAG, HREF), _in_tags(REFRESH_TAG, TARGET)))
     rows = rows.select("url", F.explode(found).alias("link")).where("link <> ''").withColumn("link", F.replace("link", F.lit("&amp;"), F.lit("&")))
     rows = with_parts(rows, "url").where("node is not null")
     directory = F.regexp_replace("path", "[^/]*$", "")
@@ -161,9 +163,9 @@ with recursive u as (
   from u
 ), n as (select *, case when host <> '' then host || (case when tail = '' then '/' else tail end) end as node from p),
 l as (
-  select node, host, path, replace(unnest([
-      regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-      regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]), '&amp;', '&') as link
+  select node, host, path, replace(unnest(
+      list_transform(regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), lambda t: regexp_extract(t, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)) ||
+      list_transform(regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), lambda t: regexp_extract(t, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1))), '&amp;', '&') as link
   from n where html is not null and node is not null
 ), d as (
   select node as a, case when regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') then substr(link, strpos(link, '://') + 3)
@@ -193,3 +195,21 @@ select page_id, host, path, ruled.rule, coalesce(v, case when allowed then 'allo
   case when v is not null then 'rule' when allowed or blocked then 'alias' else 'default' end as reason, component
 from n left join ruled on ruled.node = n.node left join said on said.node = n.node
 """
+
+#: Pages in chains of four by canonical links and redirects, some with several tags; html as it is otherwise.
+LINKED = """
+select p.page_id, p.url, case p.page_id % 4
+    when 0 then concat('<link rel="canonical" href="', q.url, '">', coalesce(p.html, ''))
+    when 1 then concat('<meta http-equiv="refresh" content="0; url=', q.url, '">', coalesce(p.html, ''))
+    when 2 then concat('<link rel="canonical"><link href="', q.url, '" rel="canonical">', coalesce(p.html, ''))
+    else p.html end as html
+from pages p left join pages q on q.page_id = p.page_id + 1
+"""
+
+
+def linked(pages: DataFrame) -> DataFrame:
+    """The pages of LINKED."""
+    return pages.sparkSession.sql(LINKED.replace("from pages p", "from {pages} p").replace("join pages q", "join {pages} q"), pages=pages)
+
+
+LINKED_ORACLE = ORACLE.replace("with recursive u as (", f"with recursive linked as ({LINKED}), u as (").replace("end as rest from pages\n", "end as rest from linked\n")

@@ -27,6 +27,8 @@ PAGES = [
     (16, "http://loop.test/", C.format("/")),
     (17, "http://abs.test/a/b", C.format("/net")),
     (18, "http://notexample.com/de/x", None),
+    (19, "http://two.test/", "<link rel=canonical>" + C.format("http://nowhere.test/") + C.format("http://d.net/")),  # the second and third tag count
+    (20, "http://three.test/", R.format("#here") + R.format("http://nowhere.test/")),
 ]
 
 
@@ -48,6 +50,7 @@ def test_against_sql(spark):
     assert [by[i].verdict for i in (1, 2, 3, 4, 5, 6, 7, 8)] == ["allow", "block", "block", "block", "allow", "allow", "block", "allow"]
     assert (by[2].host, by[2].path, by[2].rule) == ("a.example.net", "/de/1", "net/")
     assert (by[9].host, by[9].path, by[9].verdict, by[11].host, by[11].path) == ("", "", "allow", "", "")
+    assert by[19].verdict == by[20].verdict == "block" and by[20].component == by[19].component
     assert by[15].rule is None and by[15].verdict == "allow"
     assert by[12].component == by[13].component and by[16].component is None
     assert urls.judge(frame(spark, PAGES).limit(0)).count() == 0
@@ -63,3 +66,12 @@ def test_redirect_table(spark):
     pages = frame(spark, [(1, "http://x.test/", None), (2, "http://y.test/", None)])
     moved = spark.createDataFrame([("http://x.test/", "http://z.net/"), (None, "http://y.test/")], "url string, target string")
     assert sorted((r.page_id, r.verdict, r.reason) for r in urls.judge(pages, redirects=moved).collect()) == [(1, "block", "alias"), (2, "allow", "default")]
+
+
+def test_linked_pages(spark):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"create view pages as from '{sf}/pages.parquet'")
+    got = urls.judge(urls.linked(spark.read.parquet(f"{sf}/pages.parquet"))).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(con.sql(urls.LINKED_ORACLE).fetchall(), key=str)
+    assert {r.verdict for r in got if r.reason == "alias"} == {"allow", "block"}
