@@ -4,12 +4,12 @@
    estimated under a hierarchy of Dirichlet priors: the corpus' share, then the token's prefixes of PREFIXES
    letters, then the token. Its log-odds against the corpus' share, less DRIFT, is the token's score.
 2. A linear scan finds all maximal scoring segments of a document (Ruzzo and Tompa). A token that comes again within
-   NEAR tokens adds nothing, so that mere repetition makes no passage.
+   NEAR tokens adds nothing and costs nothing, so that mere repetition makes no passage; farther on it counts anew.
 3. Scores of segments in clean text follow an extreme-value law: a segment of score s in a text of n tokens has the
    expectation K n exp(-lambda s). lambda solves sum p(s) exp(lambda s) = 1 for the scores of clean tokens, K is fitted to
    the best segments of clean documents. Segments with an expectation below SIGNIFICANT are passages.
-4. The best segments of a document (each token counts once) together give a sum statistic (Karlin and Altschul), whose
-   least p-value over the number of segments goes through a logistic curve that is fitted to the labels.
+4. All segments of a document, best first, together give a sum statistic (Karlin and Altschul), whose least p-value over
+   the number of segments goes through a logistic curve that is fitted to the labels.
 
 The model is fitted on a sample of about PER_LABEL labelled texts of each label; a text stands for as many as were there
 for each that was taken. Each counts a token once, and equal texts of a label count once. Tokens and prefixes live in a
@@ -47,8 +47,6 @@ DRIFT = 1.5
 LEAST, MOST, STEP = -4.0, 8.0, 0.05
 SIGNIFICANT = 0.05
 THRESHOLD = 0.7
-#: Segments of a document that its sum statistic uses at most.
-TOP = 6
 #: A token that was there less than so many tokens before adds nothing to a passage.
 NEAR = 30
 _CACHE = 300_000
@@ -102,16 +100,16 @@ def segments(score: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, float(r - l)) for a, b, l, r, _ in held]
 
 
-def fresh(words: list[str], score: np.ndarray, near: int | None = None) -> np.ndarray:
-    """The scores, where a repeated token (if near is given: one less than near tokens after itself) has DRIFT's loss alone."""
+def fresh(words: list[str], score: np.ndarray) -> np.ndarray:
+    """The scores, where a good token that was there less than NEAR tokens before has none."""
     out = score
     seen: dict[str, int] = {}
     for i in np.flatnonzero(score > 0).tolist():
         last = seen.get(words[i])
-        if last is not None and (near is None or i - last < near):
+        if last is not None and i - last < NEAR:
             if out is score:
                 out = score.copy()
-            out[i] = -DRIFT
+            out[i] = 0.0
         seen[words[i]] = i
     return out
 
@@ -206,7 +204,7 @@ class Model:
             return _X_LEAST
         start = math.log(self.size * max(length, 1))
         found, total = -math.inf, 0.0
-        for r, s in enumerate(sorted(best, reverse=True)[:TOP], 1):
+        for r, s in enumerate(sorted(best, reverse=True), 1):
             total += self.rate * s - start
             if total <= 0 and r > 1:
                 break
@@ -221,9 +219,9 @@ class Model:
         words = tokens(text) if text else []
         if not words or not self.share:
             return (self.probability(_X_LEAST) if self.share else 0.0), []
-        scored = self.scores(words)
-        passages = [(a, b, s, e) for a, b, s in segments(fresh(words, scored, NEAR)) if (e := self.expectation(s, len(words))) < SIGNIFICANT]
-        return self.probability(self.statistic([s for _, _, s in segments(fresh(words, scored))], len(words))), passages
+        found = segments(fresh(words, self.scores(words)))
+        passages = [(a, b, s, e) for a, b, s in found if (e := self.expectation(s, len(words))) < SIGNIFICANT]
+        return self.probability(self.statistic([s for _, _, s in found], len(words))), passages
 
 
 # Fitting --------------------------------------------------------------------------------------------------------------
@@ -282,7 +280,7 @@ _FACTS = "toxic int, length long, best array<double>, cells array<long>"
 
 
 def _facts(rows: DataFrame, model: Model, clean_weight: float, toxic_weight: float) -> DataFrame:
-    """Of every training text its best segments without its own counts; one more row of a task has the classes of clean tokens' scores."""
+    """Of every training text its segments' scores without its own counts; one more row of a task has the classes of clean tokens' scores."""
     shared = rows.sparkSession.sparkContext.broadcast(model)  # two arrays of 2**(BITS + 1) numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +299,7 @@ def _facts(rows: DataFrame, model: Model, clean_weight: float, toxic_weight: flo
                 s = fresh(words, np.array([cache[w] for w in words], dtype=np.float64))
                 if not toxic and len(s):
                     np.add.at(cells, np.rint((s - LEAST) / STEP).astype(np.int64), 1)
-                out.append((toxic, len(words), sorted((x for _, _, x in segments(s)), reverse=True)[:TOP], None))
+                out.append((toxic, len(words), sorted((x for _, _, x in segments(s)), reverse=True), None))
             yield _rows(out)
         yield _rows([(None, 0, None, cells.tolist())])
 

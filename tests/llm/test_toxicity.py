@@ -93,3 +93,26 @@ def test_unlabelled_words_do_not_count(spark):
     flipped = [(i, q, 1 - t if crc32(str(i).encode()) % 3 == 1 else t) for i, q, t in labels]
     models = [toxicity.fit(df, spark.createDataFrame(x, "doc_id long, quality int, toxic int")) for x in (labels, flipped)]
     assert (models[0].y == models[1].y).all() and models[0].slope == models[1].slope
+
+
+def hand_made():
+    model = toxicity.Model(np.zeros(2 << toxicity.BITS, dtype=np.float32), np.zeros(2 << toxicity.BITS, dtype=np.float32), 0.1, rate=1.0, size=0.1, slope=1.0, offset=-8.0)
+    model._cache.update({"calm": -1.4, **{f"bad{i}": 3.0 for i in range(60)}})
+    return model
+
+
+def test_every_passage_counts_wherever_its_words_were_before():
+    model = hand_made()
+    calm = "calm " * 200
+    alone = calm.join(f"bad{i} " for i in range(6)) + calm
+    passage = " ".join(f"bad{i}" for i in range(6))
+    for text, n in ((calm + passage + " " + calm, 1), (alone + passage + " " + calm, 1), (calm + passage + " " + calm + passage + " " + calm, 2)):
+        score, found = model.judge(text)
+        assert score > 0.7 and len(found) == n
+        told = toxicity.tokens(text)
+        assert all(" ".join(told[a:b]) == passage and s == 18.0 for a, b, s, _ in found)
+    assert model.judge(alone)[1] == [] and model.judge(alone)[0] < 0.5
+    assert model.judge("bad1 " * 500)[1] == []
+    many = calm.join(" ".join(f"bad{6 * k + i}" for i in range(6)) + " " for k in range(10))
+    assert len(model.judge(many)[1]) == 10
+    assert model.statistic([18.0] * 10, 2000) > model.statistic([18.0] * 6, 2000)
