@@ -1,17 +1,25 @@
-"""SentencePiece encoding and decoding by weighted finite-state transducers.
+"""SentencePiece encoding and decoding by weighted finite-state transducers over the tropical semiring.
 
-A model file is compiled once into three machines over the tropical semiring: the normaliser (its character map, the
-dummy prefix, white space as U+2581), the lexicon (a trie whose leaves are pieces) and byte fallback (a character that is
-no piece becomes its UTF-8 bytes). They are composed with each input on the fly, and the shortest path gives the ids.
+A model file is compiled once into machines, which are composed with each input on the fly:
 
-Unigram models: an arc weighs minus the piece's score. Byte-pair models have no additive score, so their lexicon is
-composed with one more machine, over pairs of neighbours: the arc from a to b weighs nothing if merging a + b by itself
-stops at (a, b), and infinitely much otherwise. A segmentation is what merging yields if and only if all its neighbours
-pass (a merge across a boundary would first show in the two pieces it joins), so exactly one path has a finite weight, for
-each prefix of the input too.
+- the normaliser: its character map (a trie, the longest match goes), then a machine of four states that drops or keeps
+  blanks, adds the dummy prefix and writes U+2581;
+- the lexicon with byte fallback: an arc from a place of the text for each piece that begins there; a character that is
+  no piece has an arc that writes its UTF-8 bytes;
+- the neighbours: a machine whose state is the last symbol and which weighs each next one.
 
-Pieces never run from a letter into U+2581, so the lattice falls apart there and the path of each part is kept; a model
-whose pieces do so is taken in one part.
+The shortest path through the composition gives the ids.
+
+Unigram models: a piece's arc weighs minus its score, neighbours weigh nothing. Byte-pair models have no additive score;
+their pieces weigh nothing, and neighbours a and b weigh infinitely much if merging a + b by itself would cross their
+border, else nothing. A merge across a border would first show in the two pieces it joins, so exactly one path is finite,
+for each prefix of the input too, and it is what merging yields. A cross-border merge joins a node x on the right edge of
+a's merge tree with y on the left edge of b's. As a piece scores below its parts, x is there until its own parent's score
+is reached, and y likewise; so x + y is merged if it is a piece whose score is above that of x's parent and not below that
+of y's (of equal pairs the left one goes first). Pieces that score above their parts, or as others do, are tried out.
+
+Where two characters stand that no piece has side by side, no arc runs across, so the lattice falls apart there, and the
+path of each part is kept. A model whose pieces run from a letter into U+2581 is taken in one part.
 
 Rules for odd input: a null text gives null ids, an empty text none; repeated rows are each encoded; a null doc_id is
 kept; an empty table gives an empty result; other columns are ignored. Models with user-defined pieces are refused.
@@ -23,6 +31,7 @@ import re
 import struct
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,10 +46,16 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: What an unknown character costs more than the worst piece, in unigram models.
 UNKNOWN_PENALTY = 10.0
-_CACHE = 500_000
-_PAIRS = 2_000_000
+#: Parts of text, and pairs of neighbours, that a worker keeps in each of two generations.
+_CACHE = 350_000
+_PAIRS = 500_000
+#: Characters of a part that is kept, at most.
+_KEPT = 48
 _WIDE = 1 << 32
 _CHAR, _NONE = -1, -2
+INFINITE = float("inf")
+#: In place of the score of a piece that scores above its parts or as another does; merging is tried out where it matters.
+_ODD = "odd"
 
 
 # The model file -----------------------------------------------------------------------------------------------------
@@ -117,6 +132,64 @@ class CharMap:
 # The machines ---------------------------------------------------------------------------------------------------------
 
 
+class Blanks:
+    """The normaliser's machine for white space: (state, symbol) to (output, next state), and what each state writes at the end.
+
+    States: nothing read, only blanks read, inside a word, after a word's blanks. Symbols: blank, or anything else.
+    """
+
+    FRESH, EMPTY, WORD, GAP = range(4)
+
+    def __init__(self, dummy: bool, squeeze: bool, escape: bool, suffix: bool):
+        blank = SPACE if escape else " "
+        front, back = (blank, "") if dummy and not suffix else ("", blank if dummy else "")
+        if squeeze:  # blanks wait until a word follows
+            self.blank = {self.FRESH: ("", self.EMPTY), self.EMPTY: ("", self.EMPTY), self.WORD: ("", self.GAP), self.GAP: ("", self.GAP)}
+            self.other = {self.FRESH: front, self.EMPTY: front, self.WORD: "", self.GAP: blank}
+            self.end = {self.FRESH: "", self.EMPTY: "", self.WORD: back, self.GAP: back}
+        else:
+            self.blank = {self.FRESH: (front + blank, self.WORD), self.WORD: (blank, self.WORD)}
+            self.other = {self.FRESH: front, self.WORD: ""}
+            self.end = {self.FRESH: "", self.WORD: back}
+
+    def __call__(self, text: str) -> str:
+        """The output for a text; arcs of a word's characters write what they read, so a word goes in one step."""
+        if self.GAP not in self.end and text:  # inside a word all arcs lead back, so all after the first symbol goes in one step
+            head = self.blank[self.FRESH][0] if text[0] == " " else self.other[self.FRESH] + text[0]
+            return head + text[1:].replace(" ", self.blank[self.WORD][0]) + self.end[self.WORD]
+        state, out, at, size = self.FRESH, [], 0, len(text)
+        while at < size:
+            stop = text.find(" ", at)
+            stop = size if stop < 0 else stop
+            if stop > at:
+                out += (self.other[state], text[at:stop])
+                state, at = self.WORD, stop
+            else:
+                written, state = self.blank[state]
+                out.append(written)
+                at += 1
+        out.append(self.end[state])
+        return "".join(out)
+
+
+class Generations(dict):
+    """A cache of two generations: what was not used since the last turn goes."""
+
+    def __init__(self, make, size: int):
+        super().__init__()
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 class Transducer:
     def __init__(self, model: bytes):
         self.pieces: list[tuple[str, float, int]] = []
@@ -143,12 +216,18 @@ class Transducer:
         self.unknown = next(i for i, x in enumerate(self.pieces) if x[2] == UNKNOWN)
         self.bytes = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(self.pieces) if t == BYTE}
         self.worst = min(self.score.values(), default=0.0) - UNKNOWN_PENALTY
-        self.apart = not self.suffix and not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.lexicon)
+        self._inside = {p[n - 1 : n + 1] for p in self.lexicon for n in range(1, len(p))}
+        runs = self.kind == UNIGRAM and not (self.fallback and self.bytes)  # a run of unknown characters is one id
+        self.apart = not runs and not self.suffix and not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.lexicon)
+        self._blanks = Blanks(self.dummy, self.squeeze, self.escape, self.suffix)
+        if self.kind == BPE:
+            self._compile_neighbours()
         self._trie, self._shorter = self._compile_trie()
         self._size = [len(p) for p, _, _ in self.pieces]
         self._surface = self._surfaces()
-        self._parts: dict[str, bytes] = {}
-        self._pair: dict[int, bool] = {}
+        self._part = Generations(lambda p: self.ids(p).tobytes(), _CACHE)
+        self._word = Generations(lambda p: self._in_parts(SPACE + p), _CACHE)
+        self._weight = Generations(lambda k: self._cost(k // _WIDE, k % _WIDE), _PAIRS)
 
     def _compile_trie(self) -> tuple[dict[str, int], list[int]]:
         """For each beginning of a piece the longest piece inside it, and for each piece the next shorter one inside it.
@@ -167,20 +246,13 @@ class Transducer:
     # The normaliser
 
     def normalise(self, text: str) -> str:
-        text = self.char_map(text)
-        if self.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
-        if not text:
-            return ""
-        if self.dummy:
-            text = text + " " if self.suffix else " " + text
-        return text.replace(" ", SPACE) if self.escape else text
+        return self._blanks(self.char_map(text))
 
     # Neighbours
 
-    def merged(self, text: str) -> list[str]:
-        """What byte-pair merging makes of a short text: the pair with the best score goes first, then the leftmost."""
-        symbols = list(text)
+    def merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """What byte-pair merging makes of a short text (the best score first, then the leftmost), and its last merge."""
+        symbols, last = list(text), None
         while True:
             best, at = None, -1
             for i in range(len(symbols) - 1):
@@ -188,12 +260,54 @@ class Transducer:
                 if s is not None and (best is None or s > best):
                     best, at = s, i
             if best is None:
-                return symbols
-            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
-
-    def passes(self, a: str, b: str) -> bool:
-        """Whether the arc from a to b has a finite weight; from nothing, whether merging yields b at all."""
-        return self.merged(a + b) == ([a, b] if a else [b])
+                return symbols, last
+            last = symbols[at], symbols[at + 1]
+            symbols[at : at + 2] = ["".join(last)]
+
+    def _compile_neighbours(self) -> None:
+        """The merge trees' edges of all symbols, and the scores of all pairs that merge. Pieces that merging can't yield leave the lexicon."""
+        symbol = self._symbol = {c: i for i, c in enumerate(sorted({c for p in self.lexicon for c in p} | set(self.lexicon)), 1)}
+        # only the two parts that merging makes of a piece's text ever stand side by side
+        joined: dict[int, float | str] = {}
+        several = Counter(s for p, s in self.score.items() if len(p) > 1)
+        alone = ((0, -INFINITE),)
+        self._right, self._left = [alone] * (len(symbol) + 1), [alone] * (len(symbol) + 1)  # 0: a character that no piece holds
+        for p in sorted(symbol, key=len):
+            i = symbol[p]
+            self._right[i] = self._left[i] = ((i, -INFINITE),)
+            if len(p) == 1:
+                continue
+            whole, last = self.merged(p)
+            if whole != [p]:
+                del self.lexicon[p]
+                continue
+            x, y = (symbol[z] for z in last)
+            score = joined[x * _WIDE + y] = self.score[p]
+            if several[score] > 1 or any(len(z) > 1 and self.score[z] <= score for z in last):
+                joined[x * _WIDE + y] = _ODD
+            self._right[i] += ((y, joined[x * _WIDE + y]), *self._right[y][1:])
+            self._left[i] += ((x, joined[x * _WIDE + y]), *self._left[x][1:])
+        self._joined, self._name = joined, ["", *symbol]
+        self._of_piece = [symbol.get(p, 0) if t == NORMAL else 0 for p, _, t in self.pieces]
+
+    def _cost(self, a: int, b: int) -> float:
+        """The weight of symbol b after symbol a."""
+        get, left = self._joined.get, self._left[b]
+        for x, until in self._right[a]:
+            x *= _WIDE
+            for y, stays in left:
+                score = get(x + y)
+                if score is not None:
+                    if score is _ODD or until is _ODD or stays is _ODD:
+                        names = [self._name[a], self._name[b]]
+                        return 0.0 if self.merged("".join(names))[0] == names else INFINITE
+                    if score > until and score >= stays:
+                        return INFINITE
+        return 0.0
+
+    def neighbours(self, a: str, b: str) -> float:
+        """The weight of b after a, as pieces or characters."""
+        return self._cost(self._symbol.get(a, 0), self._symbol.get(b, 0)) if self.kind == BPE else 0.0
 
     # The lattice: arcs leave a position for each piece that begins there, or for a character that is none
 
@@ -224,63 +338,70 @@ class Transducer:
 
     def path(self, text: str) -> list[tuple[int, int, int]]:
         """(start, end, piece or _CHAR) of the arcs on the shortest path of a normalised text."""
-        return self._finite_path(text) if self.kind == BPE else self._least_path(text)
+        return self.shortest(text)[1]
+
+    def shortest(self, text: str) -> tuple[float, list[tuple[int, int, int]]]:
+        """The least weight, and its path. A state is a place of the text and, in byte-pair models, the last symbol."""
+        return (0.0, self._free_path(text)) if self.kind == BPE else self._least_path(text)
 
-    def _least_path(self, text: str) -> list[tuple[int, int, int]]:
+    def _least_path(self, text: str) -> tuple[float, list[tuple[int, int, int]]]:
+        """Arcs lead on, so the states are settled in the order of their places."""
         n = len(text)
-        weight, last = [0.0] + [float("inf")] * n, [(0, 0, _NONE)] * (n + 1)
+        weight, last = [0.0] + [INFINITE] * n, [(0, 0, _NONE)] * (n + 1)
         for i in range(n):
             for j, at in self.arcs(text, i):
                 w = weight[i] - (self.worst if at < 0 else self.pieces[at][1])
                 if w < weight[j]:
                     weight[j], last[j] = w, (i, j, at)
-        out = []
-        while n:
-            out.append(last[n])
-            n = last[n][0]
-        return out[::-1]
-
-    def _finite_path(self, text: str) -> list[tuple[int, int, int]]:
-        """The only path without an infinite arc: depth first, the longest pieces first, each state at most once.
-
-        A state is the last piece; what can follow depends on nothing else, so a state without a way on is dead for good.
-        """
-        n, pairs, shorter, size, farthest = len(text), self._pair, self._shorter, self._size, self.farthest
+        out, at = [], n
+        while at:
+            out.append(last[at])
+            at = last[at][0]
+        return weight[n], out[::-1]
+
+    def _free_path(self, text: str) -> list[tuple[int, int, int]]:
+        """All finite weights are zero, so the queue of states by weight is a stack, the farthest on top; arcs are weighed in their turn."""
+        n, weight, shorter, size, farthest = len(text), self._weight, self._shorter, self._size, self.farthest
         if not n:
             return []
-        ends, known, ahead = [0], [_NONE], [farthest(text, 0)]
-        dead: set[tuple[int, int]] = set()
+        of_piece, symbol = self._of_piece, self._symbol
+        ends, lasts, pieces, ahead = [0], [0], [_NONE], [farthest(text, 0)]
+        left: set[tuple[int, int]] = set()  # states that lead to no end
         i = 0
         while i < n:
             at = ahead[-1]
             if at == _NONE:
                 if len(ends) == 1:
                     raise ValueError("no path")
-                ends.pop(), known.pop(), ahead.pop()
-                dead.add((ends[-1], i))
+                left.add((i, lasts[-1]))
+                ends.pop(), lasts.pop(), pieces.pop(), ahead.pop()
                 i = ends[-1]
                 continue
-            ahead[-1] = shorter[at] if at >= 0 else _NONE
-            j = i + (size[at] if at >= 0 else 1)
-            if dead and (i, j) in dead:
-                continue
-            before = known[-1]
-            if at < 0 or before == _CHAR:
-                good = self.passes(text[ends[-2] : i] if i else "", text[i:j])
+            if at >= 0:
+                ahead[-1], here, j = shorter[at], of_piece[at], i + size[at]
             else:
-                key = before * _WIDE + at
-                good = pairs.get(key)
-                if good is None:
-                    if len(pairs) > _PAIRS:
-                        pairs.clear()
-                    good = pairs[key] = self.passes(text[ends[-2] : i] if i else "", text[i:j])
-            if good:
-                ends.append(j)
-                known.append(at)
-                i = j
-                if i < n:
-                    ahead.append(farthest(text, i))
-        return list(zip(ends, ends[1:], known[1:]))
+                ahead[-1], here, j = _NONE, symbol.get(text[i], 0), i + 1
+            if i and weight[lasts[-1] * _WIDE + here] or left and (j, here) in left:
+                continue
+            ends.append(j)
+            lasts.append(here)
+            pieces.append(at)
+            i = j
+            if i < n:
+                ahead.append(farthest(text, i))
+        return list(zip(ends, ends[1:], pieces[1:]))
+
+    def weigh(self, text: str, ends: list[int]) -> float:
+        """The weight of the path with these ends of arcs; infinite if it has an arc that isn't there."""
+        total, last, start = 0.0, "", 0
+        for end in ends:
+            arc = text[start:end]
+            found = [at for j, at in self.arcs(text, start) if j == end]
+            if not found:
+                return INFINITE
+            total += (0.0 if self.kind == BPE else -(self.worst if found[0] < 0 else self.pieces[found[0]][1])) + (self.neighbours(last, arc) if start else 0.0)
+            last, start = arc, end
+        return total
 
     def ids(self, text: str) -> array:
         """The output labels: pieces, bytes of unknown characters, or one unknown id for a run of them."""
@@ -303,22 +424,24 @@ class Transducer:
             return b""
         if not self.apart:
             return self.ids(normal).tobytes()
-        parts, cache = _PART.findall(normal), self._parts
-        try:
-            return b"".join(map(cache.__getitem__, parts))
-        except KeyError:
-            pass
-        if len(cache) > _CACHE:
-            cache.clear()
-        out = []
-        for p in parts:
-            found = cache.get(p)
-            if found is None:
-                found = self.ids(p).tobytes()
-                if len(p) <= 48:
-                    cache[p] = found
-            out.append(found)
-        return b"".join(out)
+        if SPACE * 2 in normal or normal[-1] == SPACE:
+            return b"".join(map(self._in_parts, _PART.findall(normal)))
+        first, *words = normal.split(SPACE)
+        if len(max(words, key=len, default="")) > _KEPT:
+            rest = b"".join([self._word[p] if len(p) <= _KEPT else self._in_parts(SPACE + p) for p in words])
+        else:
+            rest = b"".join(map(self._word.__getitem__, words))
+        return self._in_parts(first) + rest if first else rest
+
+    def _in_parts(self, text: str) -> bytes:
+        """The ids of a text that is cut where two characters stand that no piece has side by side: no arc runs across."""
+        inside, part, out, at = self._inside, self._part, [], 0
+        for i in range(1, len(text) + 1):
+            if text[i - 1 : i + 1] not in inside:
+                found = text[at:i]
+                out.append(part[found] if i - at <= _KEPT else self.ids(found).tobytes())
+                at = i
+        return out[0] if len(out) == 1 else b"".join(out)
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.packed(text), dtype="<u4").tolist()

@@ -105,3 +105,48 @@ def test_whole_table(spark, library):
     for r in transducer.digest(docs).collect():
         ids = np.array(library.encode(texts[r.doc_id]), dtype="<u4")
         assert (r.n_ids, r.ids_crc32, r.round_trip) == (len(ids), zlib.crc32(ids.tobytes()), True)
+
+
+def segmentations(text):
+    if not text:
+        yield []
+    for n in range(1, len(text) + 1):
+        for rest in segmentations(text[n:]):
+            yield [n, *(n + r for r in rest)]
+
+
+@pytest.mark.parametrize("text", ["▁the", "▁toonat", "▁x.yé", "▁▁▁▁", "tion▁a"])
+def test_one_path_of_a_byte_pair_model_is_finite(machine, text):
+    weights = {tuple(ends): machine.weigh(text, ends) for ends in segmentations(text)}
+    least, path = machine.shortest(text)
+    assert least == 0.0 and [e for e, w in weights.items() if w != transducer.INFINITE] == [tuple(end for _, end, _ in path)]
+    assert weights[tuple(end for _, end, _ in path)] == 0.0
+
+
+@pytest.mark.parametrize("text", ["▁abab", "aba", "▁bab?", "▁▁ab"])
+def test_the_least_path_of_a_unigram_model(text):
+    machine = transducer.Transducer(hand_made(1, UNI, normaliser=_field(1, b"identity")))
+    least, path = machine.shortest(text)
+    assert least == pytest.approx(min(machine.weigh(text, e) for e in segmentations(text)))
+    assert machine.weigh(text, [end for _, end, _ in path]) == pytest.approx(least)
+
+
+def test_neighbours_weigh_what_merging_says(machine):
+    rng = np.random.default_rng(4)
+    names = [p for p in machine.lexicon] + ["é", "\n", "漢"]
+    for k in range(6000):
+        a, b = (names[i] for i in rng.integers(0, len(names), 2))
+        if k % 2:  # pieces that may be parts of one
+            whole = names[rng.integers(0, len(names))] + b[:2]
+            a, b = next(((whole[:n], whole[n:]) for n in range(len(whole) - 1, 0, -1) if whole[:n] in machine.lexicon and whole[n:] in machine.lexicon), (a, b))
+        assert (machine.neighbours(a, b) == 0.0) == (machine.merged(a + b)[0] == [a, b]), (a, b)
+
+
+@pytest.mark.parametrize("dummy", [0, 1])
+@pytest.mark.parametrize("squeeze", [0, 1])
+@pytest.mark.parametrize("escape", [0, 1])
+def test_blanks(dummy, squeeze, escape):
+    proto = hand_made(1, UNI, normaliser=_field(1, b"identity") + _field(3, dummy) + _field(4, squeeze) + _field(5, escape))
+    machine, library = transducer.Transducer(proto), sentencepiece.SentencePieceProcessor(model_proto=proto)
+    for t in ["", " ", "a", " a", "a ", "  a  b  ", "a b", "   "]:
+        assert machine.normalise(t) == library.normalize(t), repr(t)
