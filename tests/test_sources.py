@@ -5,7 +5,7 @@ import pytest
 
 from tallyglass.functions import text
 from tallyglass.sources import discovery, guarded, references, report, tmdl, tmsl
-from tallyglass.sources.health import Health, classify
+from tallyglass.sources.health import Health, Note
 
 
 def put(root, name, content=""):
@@ -154,8 +154,8 @@ def test_guarded_reads(tmp_path, monkeypatch):
 
 
 def test_notes():
-    assert classify("tmdl: could not read x").kind == "unreadable" and classify("tmdl: x").stage == "tmdl"
-    assert classify("nothing known").stage == "scan" and classify("nothing known").kind == "malformed" and classify("a: skipped it").kind == "stage_skipped"
+    assert Note.about("tmdl: could not read x").kind == "unreadable" and Note.about("tmdl: x").stage == "tmdl"
+    assert Note.about("nothing known").stage == "scan" and Note.about("nothing known").kind == "malformed" and Note.about("a: skipped it").kind == "stage_skipped"
 
 
 # Reports
