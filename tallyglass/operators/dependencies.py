@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,12 +34,20 @@ def reachable(seeds: DataFrame, edges: DataFrame, one_task_edges: int = ONE_TASK
     edges = materialise(edges, "edges")
     if edges.limit(one_task_edges + 1).count() <= one_task_edges:
         return _in_one_task(seeds, edges)
-    seen = frontier = materialise(seeds.select("id").distinct(), "seen")
+    frontier = materialise(seeds.select("id").distinct(), "seen")
+    # what was seen lies in tables of growing rank; two of one rank become one, so each id is written some log(levels) times
+    seen: list[tuple[int, DataFrame]] = []
     while not frontier.isEmpty():
+        rank, part = 0, frontier
+        while seen and seen[-1][0] == rank:
+            part = materialise(seen.pop()[1].union(part), "seen")
+            rank += 1
+        seen.append((rank, part))
         ahead = edges.join(frontier, edges["src"] == frontier["id"], "left_semi").select(F.col("dst").alias("id")).distinct()
-        frontier = materialise(ahead.join(seen, "id", "left_anti"), "frontier")
-        seen = materialise(seen.union(frontier), "seen")
-    return seen
+        for _, part in seen:
+            ahead = ahead.join(part, "id", "left_anti")
+        frontier = materialise(ahead, "frontier")
+    return reduce(DataFrame.union, [part for _, part in seen], frontier)
 
 
 def _in_one_task(seeds: DataFrame, edges: DataFrame) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import decide, dependencies, duplicates, findings, summary, unused, usage
 from ..operators.tables import materialise, prepare
-from ..sources import references, tmdl, tmsl
-from ..sources.health import NOTE_KINDS
+from ..sources import references, report, tmdl, tmsl
+from ..sources.health import Note
 from . import bridge
 from .bridge import SQL, table
 
@@ -288,6 +288,18 @@ def actionability(spark, sf_dir):
     return decided.where("kind = 'exact_duplicate'").select(F.col("metric_ids")[0].alias("keeper_id"), "cleared")
 
 
+@query("select keeper_id, false as cleared, true as told from sets")
+def blocked_actionability(spark, sf_dir):
+    """The same where ids of the estate stand for several measures: that blocks every finding."""
+    metrics, assets, visuals, known = everything(spark, sf_dir)
+    found = materialise(findings.detect(metrics, assets, known, 0), "findings")
+    shared = bridge.metrics(spark, sf_dir).withColumn("id", F.expr("concat('x:', seq div 4)"))
+    blockers = decide.estate_blockers(False, decide.id_collisions(shared).count(), 0)
+    decided = decide.decided(found, metrics, decide.covered_deployments(metrics, assets, visuals), blockers)
+    told = F.array_contains("blockers", blockers[0]).alias("told")
+    return decided.where("kind = 'exact_duplicate'").select(F.col("metric_ids")[0].alias("keeper_id"), "cleared", told)
+
+
 @query("select id from proven")
 def proven_removable(spark, sf_dir):
     metrics, _, _, decided = all_findings(spark, sf_dir)
@@ -347,7 +359,7 @@ def sorted_findings(spark, sf_dir):
 )
 def estate_summary(spark, sf_dir):
     metrics, assets, visuals, decided = all_findings(spark, sf_dir)
-    s = summary.summarise(metrics, assets, visuals, decided, 0, 0)
+    s = summary.summarise(metrics, assets, visuals, decided, 0, 0, ids=False)
     wanted = ["metrics", "parsed", "deployments", "assets", "visuals", "reference_carriers", "exact_duplicate_sets", "near_duplicate_sets", "unused", "unparsed", "duplicated_metrics", "proven_removable", "review_candidates"]
     return spark.createDataFrame([tuple(s[k] for k in wanted)], ", ".join(f"{k} long" for k in wanted))
 
@@ -355,13 +367,6 @@ def estate_summary(spark, sf_dir):
 # Sources and texts ------------------------------------------------------------------------------------------------------------
 
 
-def _note_kind(message):
-    out = F.lit("malformed")
-    for words, kind in reversed(NOTE_KINDS):
-        out = F.when(F.contains(F.lower(message), F.lit(words)), kind).otherwise(out)
-    return out
-
-
 @query(
     "select event_type || ': item ' || (event_id % 7) as message, case when event_id % 7 = 0 then 'unreadable' when event_id % 7 = 1 then 'contained' when event_id % 7 = 2 then 'stage_skipped' when event_id % 7 = 3 then 'malformed' else 'malformed' end as kind,"
     " event_type as stage, count(*) as n from events group by 1, 2, 3",
@@ -372,7 +377,16 @@ def health_notes(spark, sf_dir):
     seven = F.col("event_id") % 7
     tail = F.when(seven == 0, " Could not read it").when(seven == 1, " lies outside the scan root").when(seven == 2, " was skipped").when(seven == 3, " raised on it").otherwise(" is odd")
     rows = table(spark, sf_dir, "events").select(F.concat("event_type", F.lit(": item "), seven.cast("string")).alias("message"), F.concat("event_type", F.lit(": item"), tail).alias("whole"))
-    return rows.groupBy("message", _note_kind(F.col("whole")).alias("kind"), F.trim(F.substring_index("whole", ":", 1)).alias("stage")).agg(F.count("*").alias("n"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            notes = [Note.about(m) for m in batch.column(1).to_pylist()]
+            columns = [batch.column(0), pa.array([n.kind for n in notes], pa.string()), pa.array([n.stage for n in notes], pa.string()), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(columns, names=["message", "kind", "stage", "n"])
+
+    return rows.groupBy("message", "whole").agg(F.count("*").alias("n")).mapInArrow(run, "message string, kind string, stage string, n long")
 
 
 def _walked(document: str) -> list[tuple[str | None, str, str]]:
@@ -448,18 +462,53 @@ def dax_light_refs(spark, sf_dir):
     "select conv_id, array_agg(role order by first_turn, role) as roles from (select conv_id, role, min(turn) as first_turn from conversations group by conv_id, role) group by conv_id", estate=False
 )
 def ordered_distinct_roles(spark, sf_dir):
-    """Distinct values in the order of their first appearance, as pages and tables of a report are listed."""
-    first = table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.min("turn").alias("first_turn"))
-    return first.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("first_turn", "role"))), lambda x: x["role"]).alias("roles"))
+    """The pages of a report for each conversation, a visual for each turn, as the library lists them."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        def row(conv, visuals):
+            return pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([report.Report("r", report.FOLDER, visuals=visuals).pages], pa.list_(pa.string()))], names=["conv_id", "roles"])
+
+        conv, visuals = None, []
+        for batch in batches:
+            for i, role in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if i != conv and visuals:
+                    yield row(conv, visuals)
+                    visuals = []
+                conv = i
+                visuals.append({"page": role, "visual_type": "card"})
+        if visuals:
+            yield row(conv, visuals)
+
+    return _turns(spark, sf_dir).mapInArrow(run, "conv_id long, roles array<string>")
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn")
 
 
 @query(
     "select conv_id, turn, role || case when n > 1 then '#' || n else '' end as visual_id from (select *, row_number() over (partition by conv_id, role order by turn) as n from conversations)", estate=False
 )
 def visual_id_suffixes(spark, sf_dir):
-    place = F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn"))
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", place.alias("n"))
-    return rows.select("conv_id", "turn", F.when(F.col("n") > 1, F.concat_ws("#", "role", "n")).otherwise(F.col("role")).alias("visual_id"))
+    """The ids of a report's visuals for each conversation, as the library numbers them."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        conv, names = None, None
+        for batch in batches:
+            out = []
+            for i, role in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if names is None or i != conv:
+                    conv, names = i, report.Names()
+                out.append(names.unique(role))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["conv_id", "turn", "visual_id"])
+
+    turns = _turns(spark, sf_dir)
+    return turns.mapInArrow(run, f"conv_id long, turn {turns.schema['turn'].dataType.simpleString()}, visual_id string")
 
 
 _SQUEEZED = "trim(regexp_replace({}, '[ \\t\\n\\r]+', ' ', 'g'))"
@@ -491,9 +540,12 @@ def code_span(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", C.markdown_code(F.col("text")).alias("span"))
 
 
+PER_TEXT = 500
+
+
 def _made(spark: SparkSession, sf_dir: str, parse: Callable, kind: str) -> DataFrame:
-    """Measures of one source text for each type of part: written here, and parsed again by tasks."""
-    bodies = bridge.metrics(spark, sf_dir).groupBy("model").agg(F.array_sort(F.collect_list(F.struct("seq", "expression", "format_string", "is_hidden"))).alias("rows"))
+    """Measures of source texts of PER_TEXT measures at most: written here, and parsed again by tasks."""
+    bodies = bridge.metrics(spark, sf_dir).groupBy("model", F.floor(F.col("seq") / PER_TEXT).alias("text")).agg(F.array_sort(F.collect_list(F.struct("seq", "expression", "format_string", "is_hidden"))).alias("rows"))
 
     def text(row: dict) -> str:
         import json

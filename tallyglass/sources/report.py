@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -101,10 +100,30 @@ class Report:
         return list(dict.fromkeys(r["table"] for r in self.references if r["table"]))
 
 
+class Names:
+    """Names of a report's visuals, each once."""
+
+    def __init__(self):
+        self.used: set[str] = set()
+        self.tried: dict[str, int] = {}
+
+    def unique(self, base: str) -> str:
+        """base, or base#2, base#3, ... whichever is free first."""
+        n = self.tried.get(base, 0)
+        while True:
+            n += 1
+            found = base if n == 1 else f"{base}#{n}"
+            if found not in self.used:
+                break
+        self.tried[base] = n
+        self.used.add(found)
+        return found
+
+
 class _Reader:
     def __init__(self, name: str, kind: str, files: dict[str, str], folders: list[str]):
         self.out, self.files, self.folders = Report(name, kind), files, folders
-        self.used: set[str] = set()
+        self.unique = Names().unique
 
     def json(self, name: str, *, listed: bool = True) -> Any:
         text = self.files.get(name)
@@ -123,13 +142,6 @@ class _Reader:
         if message not in self.out.problems:
             self.out.problems.append(message)
 
-    def unique(self, base: str) -> str:
-        """base, or base#2, base#3, ... whichever is free first."""
-        tries: Iterator[str] = (base if n == 1 else f"{base}#{n}" for n in range(1, len(self.used) + 2))
-        found = next(x for x in tries if x not in self.used)
-        self.used.add(found)
-        return found
-
     def scan(self, document: Any, source: str, found: Found, where: str) -> None:
         walk(document, source, found)
         if found.too_deep:
