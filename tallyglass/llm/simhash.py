@@ -234,8 +234,8 @@ def fingerprint_links(nodes: DataFrame, scratch: Scratch, budget: int = BUDGET,
     return map_arrow(tasks, run, "src long, dst long")
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], by: list[str], least: int = 100_000) -> Iterator[pa.Table]:
-    """Tables of whole groups from batches that are sorted by them; no larger than one group and `least` rows more or less."""
+def _whole_groups(batches: Iterator[pa.RecordBatch], by: list[str], least: int = 100_000, least_bytes: int = 64 << 20) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches that are sorted by them; no larger than one group and `least` rows (or bytes) more or less."""
     held: list[pa.RecordBatch] = []
     rows = 0
     for batch in batches:
@@ -243,7 +243,7 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], by: list[str], least: int =
             continue
         held.append(batch)
         rows += batch.num_rows
-        if rows < least:
+        if rows < least and sum(b.nbytes for b in held) < least_bytes:
             continue
         whole = pa.Table.from_batches(held)
         same = np.ones(rows, dtype=bool)
@@ -340,6 +340,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Words of a shingle, and the least similarity of near copies.
 NEAR_SHINGLE = 5
 NEAR = 0.8
+#: Shingles of one band's nodes that a task compares at once; a key with more is dealt over tasks.
+HEAVY = 1 << 20
 #: Bands of minima, and minima in each: a pair of similarity 0.8 agrees on a band in all but 2 of 10,000 cases.
 BANDS = 16
 MINIMA = 4
@@ -394,31 +396,33 @@ def similar_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text, version. digest and bands of each."""
+    """docs: doc_id, text, version. digest, size (different shingles) and bands of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             if batch.num_rows:
                 sets = [shingle_set(x) for x in as_bytes(batch)]
                 keys = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, np.concatenate([band_keys(x) for x in sets]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([set_digest(x) for x in sets], pa.int64()), keys], names=["doc_id", "version", "digest", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([set_digest(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), keys], names=["doc_id", "version", "digest", "size", "bands"])
 
-    return map_arrow(docs, run, "doc_id long, version long, digest long, bands array<long>")
+    return map_arrow(docs, run, "doc_id long, version long, digest long, size long, bands array<long>")
 
 
-def _sets_by_band(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text, digest, bands (those that others have too). A row for each band."""
+def _sets_by_key(docs: DataFrame) -> DataFrame:
+    """docs: doc_id, text, digest, keys. The text's shingles once for each of its keys."""
+
+    def made(keys: list[int], name: int, packed: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([name] * len(keys), pa.int64()), pa.array([packed] * len(keys), pa.binary())], names=["key", "digest", "shingles"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
-            keys, names, packed = [], [], []
-            for text, name, bands in zip(as_bytes(batch), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for text, name, keys in zip(as_bytes(batch), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 found = shingle_set(text)
                 if set_digest(found) == name:
-                    keys += bands
-                    names += [name] * len(bands)
-                    packed += [found.tobytes()] * len(bands)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(names, pa.int64()), pa.array(packed, pa.binary())], names=["key", "digest", "shingles"])
+                    packed = found.tobytes()
+                    step = max(1, (8 << 20) // max(1, len(packed)))
+                    for at in range(0, len(keys), step):
+                        yield made(keys[at : at + step], name, packed)
 
     return map_arrow(docs, run, "key long, digest long, shingles binary")
 
@@ -442,26 +446,82 @@ def _links_of_bands(rows: DataFrame) -> DataFrame:
     return map_arrow(rows.repartition("key").sortWithinPartitions("key"), run, "src long, dst long")
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _dealt(keys: DataFrame, weights: DataFrame, heavy: int) -> DataFrame:
+    """key, node, digest, size, leader, parts of the nodes of heavy keys.
+
+    The leader is the node that has most heavy keys: of near copies of one text, most likely that text.
+    """
+    of = keys.join(weights.where(F.col("weight") > heavy), "key")
+    spread = of.groupBy("digest").agg(F.count("*").alias("spread"))
+    rows = of.join(spread, "digest")
+    leaders = rows.groupBy("key").agg(F.max(F.struct("spread", "digest")).alias("x")).select("key", F.col("x.digest").alias("leader"))
+    return rows.join(leaders, "key").select("key", "node", "digest", "size", "leader", F.ceil(F.col("weight") / heavy).cast("long").alias("parts"))
+
+
+def _part(salt: int, parts: str) -> Column:
+    return F.pmod(F.xxhash64("digest", F.lit(salt)), F.col(parts))
+
+
+def _places(parts: str) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
+
+
+def _among_parts(dealt: DataFrame) -> DataFrame:
+    """node, key: each node of a heavy key meets those of its part; the leader meets all parts."""
+    own = dealt.select("node", F.xxhash64("key", _part(1, "parts")).alias("key"))
+    everywhere = dealt.where("digest = leader").withColumn("at", _places("parts"))
+    return own.union(everywhere.select("node", F.xxhash64("key", "at").alias("key")))
+
+
+def _across_parts(dealt: DataFrame, components: DataFrame, scratch: Scratch, heavy: int) -> DataFrame:
+    """node, key: the nodes of a heavy key that aren't in the leader's component yet meet all nodes of the key, block by block.
+
+    Of two nodes that are not yet in one component one is outside the leader's, so no link is left out.
+    """
+    of = components.select(F.col("node").alias("_node"), "component")
+    lead = dealt.where("digest = leader").select("key", "leader").join(of, F.col("leader") == F.col("_node"), "left").select("key", F.coalesce("component", "leader").alias("theirs"))
+    rows = dealt.join(of, F.col("digest") == F.col("_node"), "left").withColumn("component", F.coalesce("component", "digest")).drop("_node")
+    outside = scratch.save(rows.join(lead, "key").where("component <> theirs").select(dealt.columns))
+    blocks = outside.groupBy("key").agg(F.ceil(F.sum("size") / heavy).cast("long").alias("blocks")).select("key", F.greatest("blocks", F.lit(1)).alias("blocks"))
+    blocks = scratch.save(blocks)
+    whole = dealt.join(blocks, "key").withColumn("block", _places("blocks")).select("node", F.xxhash64("key", "block", _part(1, "parts"), F.lit(0)).alias("key"))
+    few = outside.join(blocks, "key").withColumn("at", _places("parts")).select("node", F.xxhash64("key", _part(2, "blocks"), "at", F.lit(0)).alias("key"))
+    return whole.union(few)
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY) -> DataFrame:
     """doc_id, version (the text's hash), component_id (the smallest doc_id) and component of every row with an id.
 
     Texts of similarity NEAR or more are linked. Texts with the same shingles are one node. Nodes that agree on a band
-    are compared by all their shingles, so no link is a guess.
+    are compared by all their shingles, so no link is a guess. The nodes of a key with more than `heavy` shingles are
+    dealt over tasks: first by parts that share a leader, then those that the leader's component lacks against all.
     """
     scratch = Scratch(docs.sparkSession, "similar")
     text = F.col(text_col).cast("string")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("version")).where("doc_id is not null")
     rows = scratch.save(_signatures(texts))
     # one row stands for all with its shingles
-    nodes = scratch.save(rows.groupBy("digest").agg(F.min(F.struct("doc_id", "version")).alias("x"), F.first("bands").alias("bands")).select("digest", "x.doc_id", "x.version", "bands"))
-    keys = nodes.select("digest", "doc_id", "version", F.explode("bands").alias("key"))
-    shared = scratch.save(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    wanted = scratch.save(keys.join(shared, "key").groupBy("digest", "doc_id", "version").agg(F.collect_list("key").alias("bands")))
-    # both sides grow with the input, so this is no broadcast at any size
-    sets = _sets_by_band(texts.join(wanted.hint("merge"), ["doc_id", "version"]).select("doc_id", "text", "digest", "bands"))
-    links = scratch.save(_links_of_bands(sets).distinct())
-    components = connected_components(links, scratch)
-    named = nodes.select("digest", "doc_id").join(components.withColumnRenamed("node", "digest"), "digest", "left")
+    nodes = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "version")).alias("x"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    nodes = scratch.save(nodes.select("digest", F.struct("digest", "x.doc_id", "x.version").alias("node"), "size", "bands"))
+    keys = nodes.select("digest", "node", "size", F.explode("bands").alias("key"))
+    weights = scratch.save(keys.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("weight")).where("n > 1").drop("n"))
+
+    def compared(wanted: DataFrame) -> DataFrame:
+        """wanted: node, key. The links among the nodes of each key."""
+        wanted = scratch.save(wanted.groupBy("node").agg(F.collect_list("key").alias("keys")).select("node.*", "keys"))
+        # both sides grow with the input, so this is no broadcast at any size
+        sets = _sets_by_key(texts.join(wanted.hint("merge"), ["doc_id", "version"]).select("doc_id", "text", "digest", "keys"))
+        return scratch.save(_links_of_bands(sets).distinct())
+
+    light = keys.join(weights.where(F.col("weight") <= heavy), "key").select("node", "key")
+    if weights.where(F.col("weight") > heavy).isEmpty():
+        components = connected_components(compared(light), scratch)
+    else:
+        dealt = scratch.save(_dealt(keys, weights, heavy))
+        links = compared(light.union(_among_parts(dealt)))
+        so_far = scratch.save(connected_components(links, scratch))
+        components = connected_components(links.union(compared(_across_parts(dealt, so_far, scratch, heavy))), scratch)
+    named = nodes.select("digest", "node.doc_id").join(components.withColumnRenamed("node", "digest"), "digest", "left")
     named = scratch.save(named.select("digest", "doc_id", F.coalesce("component", "digest").alias("component")))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_digest = scratch.save(named.join(least, "component").select("digest", "component", "component_id"))

@@ -34,3 +34,47 @@ def test_one_of_each_group_of_copies_from_0_8_stays(spark):
                 least[i] = least[j] = min(least[i], least[j])
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r.doc_id for r in simhash.keep_one(docs).collect()} == {i for i in texts if least[i] == i}
+
+
+def test_heavy_keys_are_dealt_over_tasks_without_losing_links(spark):
+    """One template: a large group of near copies, chains that reach beyond the leader, and texts that share half."""
+    rng = random.Random(5)
+    base = " ".join(f"w{rng.randrange(5000)}" for _ in range(120))
+    texts = {0: base}
+    for i in range(1, 60):
+        texts[i] = changed(base, 1, i)
+    for i in range(60, 90):
+        texts[i] = changed(texts[i - 1] if i % 10 else base, 2, i)
+    for i in range(90, 110):
+        texts[i] = changed(base, 30, i)
+    texts |= {200 + i: changed(texts[90 + i], 1, 500 + i) for i in range(20)}
+    ids = sorted(texts)
+    least = {i: i for i in ids}
+    links = [(i, j) for i in ids for j in ids if i < j and jaccard(texts[i], texts[j]) >= 0.8]
+    for _ in ids:
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+    assert 1 < len(set(least.values())) < 60
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for heavy in (1500, simhash.HEAVY):
+        found = {r.doc_id: r.component_id for r in simhash.similar_documents(docs, heavy=heavy).collect()}
+        assert found == least, heavy
+
+
+def test_parts_of_heavy_keys_are_small_and_cover_all_pairs(spark):
+    """No part holds more than a few times the limit, and every two nodes outside one component share a part."""
+    rows = [(7, {"digest": i, "doc_id": i, "version": 0}, i, 10, 0, 20) for i in range(2000)]
+    dealt = spark.createDataFrame(rows, "key long, node struct<digest:long,doc_id:long,version:long>, digest long, size long, leader long, parts long")
+    own = [(r.node.digest, r.key) for r in simhash._among_parts(dealt).collect()]
+    by_key = {}
+    for i, key in own:
+        by_key.setdefault(key, set()).add(i)
+    assert len(by_key) == 20 and all(0 in x for x in by_key.values()) and max(map(len, by_key.values())) < 200
+    inside = set(range(1500))
+    components = spark.createDataFrame([(i, 0) for i in inside], "node long, component long")
+    across = {}
+    for r in simhash._across_parts(dealt, components, simhash.Scratch(spark, "test"), 1000).collect():
+        across.setdefault(r.key, set()).add(r.node.digest)
+    assert max(map(len, across.values())) < 400
+    met = {i: set().union(*(x for x in across.values() if i in x)) for i in range(1500, 2000, 50)}
+    assert all(x == set(range(2000)) for x in met.values())
