@@ -78,7 +78,7 @@ def _scan(args: argparse.Namespace) -> int:
         try:
             commit_all([(p, render(shown)) for p, render in wanted])
         except CommitError as e:
-            problems = [str(e), *(f"{p}: {s}" for p, s in e.states.items()), *(f"copy of {p}: {c}" for p, c in e.recovery.items())]
+            problems = [str(e), *(f"{p}: {s}" for p, s in e.states.items()), *(f"copy of {p}: {c}" for p, c in e.recovery.items()), *([f"index of the copies: {e.index}"] if e.index else [])]
     if not args.quiet:
         print(console.render(shown, color=not args.no_color and console.colour_enabled()), end="")
         if dropped:

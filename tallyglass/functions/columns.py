@@ -35,7 +35,6 @@ reference_keys = _udf(text.reference_keys, "array<string>", pa.list_(pa.string()
 bracket_keys = _udf(text.bracket_keys, "array<string>", pa.list_(pa.string()))
 word_bag = _udf(text.word_bag, "array<string>", pa.list_(pa.string()))
 canonical_number = _udf(lambda s: None if s is None else dax.canonical_number(s), "string", pa.string())
-scrub = _udf(text.scrub, "string", pa.string())
 markdown_inline = _udf(text.markdown_inline, "string", pa.string())
 markdown_code = _udf(text.markdown_code, "string", pa.string())
 tokens = _udf(lambda s: [t._asdict() for t in dax.tokens(s)], TOKENS, _TOKENS)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,11 +132,36 @@ def unparsed(metrics: DataFrame) -> DataFrame:
     return _finding(rows, "unparsed", "low", 1.0, F.array("id"), F.concat(F.lit("'"), F.coalesce("name", F.lit("")), F.lit("' was not understood, so it takes no part in the search for duplicates")), evidence)
 
 
-def detect(metrics: DataFrame, assets: DataFrame, known: unused.Usage, errors: int) -> DataFrame:
-    """All findings: duplicates, candidates, usage and what was not understood."""
-    out = exact(metrics, known.counts).unionByName(candidates(metrics, "same_shape")).unionByName(candidates(metrics, "name_drift")).unionByName(unparsed(metrics))
+def find_duplicates(metrics: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Exact sets and both kinds of candidates."""
+    return together([exact(metrics, counts), candidates(metrics, "same_shape"), candidates(metrics, "name_drift")])
+
+
+def used(metrics: DataFrame, assets: DataFrame, known: unused.Usage, errors: int) -> DataFrame | None:
+    """What usage says; nothing of an estate without metrics."""
     if metrics.isEmpty():
-        return out
+        return None
     if known.reason:
-        return out.unionByName(usage_unknown(metrics, assets, known))
-    return out.unionByName(unused_metrics(metrics, known, metrics.where("not lexically_ok").count(), errors))
+        return usage_unknown(metrics, assets, known)
+    return unused_metrics(metrics, known, metrics.where("not lexically_ok").count(), errors)
+
+
+def detectors(metrics: DataFrame, assets: DataFrame, known: unused.Usage, errors: int) -> dict[str, Callable[[], DataFrame | None]]:
+    """Each detector by name, to be run on its own."""
+    return {
+        "duplicates": lambda: exact(metrics, known.counts), "same_shape": lambda: candidates(metrics, "same_shape"), "name_drift": lambda: candidates(metrics, "name_drift"),
+        "unparsed": lambda: unparsed(metrics), "unused": lambda: used(metrics, assets, known, errors),
+    }
+
+
+def together(found: list[DataFrame]) -> DataFrame:
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def detect(metrics: DataFrame, assets: DataFrame, known: unused.Usage, errors: int) -> DataFrame:
+    """All findings: duplicates, candidates, usage and what was not understood."""
+    made = (detector() for detector in detectors(metrics, assets, known, errors).values())
+    return together([rows for rows in made if rows is not None])

@@ -19,14 +19,22 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of this session's own where that is unset."""
+    """spark.checkpoint.dir; a local session that has none gets a folder of its own, a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tallyglass-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, if it has fewer: one small file would leave Python work to one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """df, written to the shared folder and read back. Python functions in its plan thus run once."""
     prepare(df.sparkSession)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions.columns import enrich
 from ..operators import decide, findings, summary, unused
-from ..operators.tables import materialise
+from ..operators.tables import materialise, spread
 from ..sources import discovery, report, tmdl, tmsl
 from ..sources.guarded import read_text
 from ..sources.health import Health
@@ -214,7 +214,8 @@ def scan(spark: SparkSession, root: str) -> Estate:
         health.note(f"pipeline: {root!r} is no folder; nothing was scanned")
         return empty
     estate = empty
-    for stage in (_read, detected):
+    targets = discovery.contained(discovery.discover(root, health), root, health)
+    for stage in (lambda e: _read_models(e, targets), lambda e: _read_reports(e, targets), detected):
         try:
             estate = stage(estate)
         except Exception as e:  # noqa: BLE001
@@ -222,13 +223,16 @@ def scan(spark: SparkSession, root: str) -> Estate:
     return estate
 
 
-def _read(estate: Estate) -> Estate:
+def _read_models(estate: Estate, targets: list[tuple[str, str]]) -> Estate:
     spark, health = estate.spark, estate.health
-    targets = discovery.contained(discovery.discover(health.root, health), health.root, health)
     models = [t for t in targets if t[0] != discovery.REPORT]
     parsed = materialise(_parsed(_model_files(spark, models, health), _measures), "models")
     _take_problems(parsed, health)
-    metrics = materialise(enrich(_unique_ids(_opened(parsed, "metric", schema.METRICS), "measure", health)), "metrics")
+    return replace(estate, metrics=materialise(enrich(spread(_unique_ids(_opened(parsed, "metric", schema.METRICS), "measure", health))), "metrics"))
+
+
+def _read_reports(estate: Estate, targets: list[tuple[str, str]]) -> Estate:
+    spark, health = estate.spark, estate.health
     parsed = materialise(_parsed(_report_files(spark, [t for t in targets if t[0] == discovery.REPORT], health), _report), "reports")
     _take_problems(parsed, health)
     assets = _opened(parsed, "asset", schema.ASSETS)
@@ -240,14 +244,21 @@ def _read(estate: Estate) -> Estate:
         rows = _opened(parsed, what, ddl).withColumn("_of", (F.col("seq") / STRIDE).cast("long")).join(of, "_of")
         return materialise(rows.withColumn("asset_id", F.col("_id")).select(schema.names(ddl)), what)
 
-    return replace(estate, metrics=metrics, assets=unique, visuals=owned("visual", schema.VISUALS), references=owned("reference", schema.REFERENCES))
+    return replace(estate, assets=unique, visuals=owned("visual", schema.VISUALS), references=owned("reference", schema.REFERENCES))
 
 
 def detected(estate: Estate) -> Estate:
-    """The estate with the findings of all detectors."""
+    """The estate with the findings of all detectors. One that fails leaves a note, and what the others find stays."""
     known = unused.study(estate.metrics, estate.assets, estate.visuals)
-    found = findings.detect(estate.metrics, estate.assets, known, len(estate.health.notes))
-    return replace(estate, findings=materialise(found, "findings"))
+    found = []
+    for name, detector in findings.detectors(estate.metrics, estate.assets, known, len(estate.health.notes)).items():
+        try:
+            rows = detector()
+            if rows is not None:
+                found.append(materialise(rows, "findings"))
+        except Exception as e:  # noqa: BLE001
+            estate.health.note(f"{name}: this detector raised on the estate ({type(e).__name__}: {str(e)[:300]}); its findings are missing")
+    return replace(estate, findings=findings.together(found)) if found else estate
 
 
 def estate_of(metrics: DataFrame, assets: DataFrame, visuals: DataFrame, health: Health | None = None) -> Estate:

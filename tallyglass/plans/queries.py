@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import decide, dependencies, duplicates, findings, summary, unused, usage
-from ..operators.tables import materialise, prepare
+from ..operators.tables import materialise, prepare, spread
 from ..sources import references, report, tmdl, tmsl
 from ..sources.health import Note
 from . import bridge
@@ -38,7 +38,7 @@ def query(sql: str | None = None, estate: bool = True) -> Callable[[Query], Quer
 
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialise(C.enrich(bridge.metrics(spark, sf_dir)), "metrics")
+    return materialise(C.enrich(spread(bridge.metrics(spark, sf_dir))), "metrics")
 
 
 def everything(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, unused.Usage]:
@@ -102,7 +102,7 @@ def canonical_number(spark, sf_dir):
 )
 def dax_tokens(spark, sf_dir):
     kinds = F.transform(C.tokens(F.col("expression")), lambda t: t["kind"])
-    return bridge.metrics(spark, sf_dir).select("id", F.size(F.filter(kinds, lambda k: ~k.isin("WHITESPACE", "BLOCK_COMMENT", "LINE_COMMENT"))).alias("significant"))
+    return spread(bridge.metrics(spark, sf_dir)).select("id", F.size(F.filter(kinds, lambda k: ~k.isin("WHITESPACE", "BLOCK_COMMENT", "LINE_COMMENT"))).alias("significant"))
 
 
 # Duplicates -------------------------------------------------------------------------------------------------------------
@@ -419,7 +419,7 @@ def json_walk_events(spark, sf_dir):
             kinds = (pa.int64(), pa.string(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds], names=["event_id", "ref_table", "ref_name", "kind"])
 
-    return table(spark, sf_dir, "events").select("event_id", document.alias("d")).mapInArrow(run, "event_id long, ref_table string, ref_name string, kind string")
+    return spread(table(spark, sf_dir, "events").select("event_id", document.alias("d"))).mapInArrow(run, "event_id long, ref_table string, ref_name string, kind string")
 
 
 @query(
@@ -455,7 +455,7 @@ def dax_light_refs(spark, sf_dir):
             out = sorted({(i, t, n) for i, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for t, n in references.formula_references(e)}, key=str)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)] if out else [pa.array([], pa.string())] * 3, names=["id", "ref_table", "ref_name"])
 
-    return bridge.metrics(spark, sf_dir).select("id", "expression").mapInArrow(run, "id string, ref_table string, ref_name string")
+    return spread(bridge.metrics(spark, sf_dir).select("id", "expression")).mapInArrow(run, "id string, ref_table string, ref_name string")
 
 
 @query(
@@ -520,12 +520,12 @@ _SQUEEZED = "trim(regexp_replace({}, '[ \\t\\n\\r]+', ' ', 'g'))"
     estate=False,
 )
 def markdown_escape(spark, sf_dir):
-    return table(spark, sf_dir, "pages").where("html is not null").select("page_id", C.markdown_inline(F.col("html")).alias("escaped"))
+    return spread(table(spark, sf_dir, "pages").where("html is not null").select("page_id", "html")).select("page_id", C.markdown_inline(F.col("html")).alias("escaped"))
 
 
 @query("select page_id, replace(replace(replace(html, chr(9), '\\x09'), chr(10), '\\x0a'), chr(13), '\\x0d') as shown from pages", estate=False)
 def scrub_controls(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", C.scrub(F.col("html")).alias("shown"))
+    return table(spark, sf_dir, "pages").select("page_id", C.scrub_controls(F.col("html")).alias("shown"))
 
 
 _ONE_LINE = "trim(regexp_replace(replace(replace(text, chr(10), '\\x0a'), chr(9), '\\x09'), ' +', ' ', 'g'))"

@@ -2,11 +2,14 @@
 
 All contents are staged beside their destinations and what is there is copied aside before anything is replaced. If a
 replacement fails, the copies are put back; if even that fails, the error says what each file holds now and where its copy is.
+While files are replaced an index of the copies lies beside the first destination, so a process that dies leaves what
+recover() needs.
 """
 
 from __future__ import annotations
 
 import contextlib
+import json
 import os
 import shutil
 import stat
@@ -23,6 +26,7 @@ class CommitError(Exception):
     message: str
     states: dict[str, str] = field(default_factory=dict)
     recovery: dict[str, str] = field(default_factory=dict)
+    index: str | None = None
 
     def __str__(self) -> str:
         return self.message
@@ -91,7 +95,9 @@ def commit_all(pairs: list[tuple[str, str]]) -> None:
         _forget([*staged.values(), *copies.values()])
         raise CommitError(f"the outputs could not be prepared: {e}", before) from e
     states = dict(before)
+    index = None
     try:
+        index = _write_index(copies)
         for p in paths:
             states[p] = "uncertain"
             os.replace(staged[p], p)
@@ -100,11 +106,46 @@ def commit_all(pairs: list[tuple[str, str]]) -> None:
         left = _undo(states, before, copies)
         _forget(staged.values())
         _forget(c for p, c in copies.items() if p not in left)
-        raise CommitError(f"an output could not be replaced: {e}", states, left) from e
+        if not left:
+            _forget([index])
+        raise CommitError(f"an output could not be replaced: {e}", states, left, index if left else None) from e
     _sync_folders(paths)
+    _forget([index])
     _forget(copies.values())
 
 
+def _write_index(copies: dict[str, str | None]) -> str | None:
+    if not copies:
+        return None
+    fd, index = _beside(next(iter(copies)), "index")
+    try:
+        with os.fdopen(fd, "w", encoding="utf-8", errors="surrogatepass") as f:
+            json.dump(copies, f)
+            f.flush()
+            os.fsync(f.fileno())
+    except BaseException:
+        _forget([index])
+        raise
+    _sync_folders([index])
+    return index
+
+
+def recover(index: str) -> dict[str, str]:
+    """Takes back a commit that died: each destination holds what it held before, or is absent. Returns these states."""
+    with open(index, encoding="utf-8", errors="surrogatepass") as f:
+        copies = json.load(f)
+    states = {}
+    for p, copy in copies.items():
+        if copy and os.path.exists(copy):
+            os.replace(copy, p)
+        elif not copy and os.path.exists(p):
+            os.unlink(p)
+        states[p] = "old" if copy else "absent"
+    _sync_folders(list(copies))
+    _forget([index])
+    return states
+
+
 def _undo(states: dict[str, str], before: dict[str, str], copies: dict[str, str | None]) -> dict[str, str]:
     """Puts back what was there; returns the copies of files that this failed for."""
     left: dict[str, str] = {}

@@ -6,6 +6,7 @@ import json
 
 from ..plans.engine import Estate
 from ..schema import IR_VERSION
+from .commit import commit_all
 from .render import View, view
 
 
@@ -13,3 +14,8 @@ def render(estate: Estate | View) -> str:
     v = estate if isinstance(estate, View) else view(estate)
     whole = {"ir_version": IR_VERSION, "scan_root": v.root, "metrics": v.metrics, "assets": v.assets, "usage": [], "findings": v.findings, "errors": v.errors, "notes": v.notes, "summary": v.summary}
     return json.dumps(whole, indent=2, sort_keys=True, ensure_ascii=False) + "\n"
+
+
+def write_json(estate: Estate | View, path: str) -> None:
+    """render(), written as a whole or not at all."""
+    commit_all([(path, render(estate))])

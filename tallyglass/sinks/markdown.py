@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions.text import label, markdown_cell, markdown_code, markdown_inline, plural, scrub
 from ..plans.engine import Estate
+from .commit import commit_all
 from .render import View, view
 
 #: Items of a list that are shown.
@@ -89,3 +90,8 @@ def render(estate: Estate | View) -> str:
     out += ["## Notes", "", *([f"- {markdown_inline(n['message'])}" for n in v.notes] or ["Everything that was found was read."]), ""]
     out += ["---", f"{plural(len(v.findings), 'finding')}, {plural(len(v.notes), 'note')}.", ""]
     return "\n".join(out)
+
+
+def write_markdown(estate: Estate | View, path: str) -> None:
+    """render(), written as a whole or not at all."""
+    commit_all([(path, render(estate))])

@@ -14,7 +14,7 @@ from tallyglass.operators import decide, dependencies, duplicates, usage
 from tallyglass.operators.ranking import rank_within
 from tallyglass.plans import engine, queries
 from tallyglass.sinks import console, json_file, markdown, tables
-from tallyglass.sinks.commit import CommitError, commit_all
+from tallyglass.sinks.commit import CommitError, commit_all, recover
 from tallyglass.sinks.render import view
 from tests.test_sources import put
 
@@ -112,6 +112,55 @@ def test_commit(tmp_path):
     assert open(a).read() == "1" and set(e.value.states.values()) <= {"old", "uncertain"} and sorted(os.listdir(tmp_path)) == ["a", "b", "folder"]
 
 
+def test_a_commit_that_dies_can_be_taken_back(tmp_path, monkeypatch):
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    commit_all([(a, "1")])
+
+    class Death(BaseException):
+        pass
+
+    real, calls = os.replace, []
+
+    def replace(x, y):
+        calls.append(y)
+        if len(calls) == 2:
+            raise Death
+        real(x, y)
+
+    with monkeypatch.context() as m, pytest.raises(Death):
+        m.setattr(os, "replace", replace)
+        commit_all([(a, "2"), (b, "3")])
+    assert open(a).read() == "2"
+    (index,) = [str(tmp_path / n) for n in os.listdir(tmp_path) if n.endswith(".index")]
+    assert recover(index) == {os.path.realpath(a): "old", os.path.realpath(b): "absent"}
+    assert open(a).read() == "1" and not os.path.exists(b) and not os.path.exists(index)
+
+
+def test_a_detector_that_raises_leaves_the_others(spark, monkeypatch):
+    def broken(*_):
+        raise RuntimeError("broken")
+
+    monkeypatch.setattr(engine.findings, "unparsed", broken)
+    e = estate(spark, [("1", "A", "M", "/a", "SUM(T[X])"), ("2", "B", "M", "/a", "sum( T[X] )")])
+    assert {r.kind for r in e.findings.collect()} == {"exact_duplicate", "usage_unknown"}
+    assert any(n.startswith("unparsed: ") and "broken" in n for n in e.health.errors) and e.blockers()
+
+
+def test_entry_points(spark, tmp_path):
+    import tallyglass
+
+    assert all(callable(getattr(tallyglass, n)) for n in tallyglass.__all__)
+    project(str(tmp_path / "p"))
+    e = tallyglass.scan(spark, str(tmp_path / "p"))
+    found = tallyglass.find_duplicates(e.metrics)
+    assert {r.kind for r in found.collect()} == {r.kind for r in e.findings.collect() if r.kind.endswith("_duplicate")} == {"exact_duplicate"}
+    tallyglass.write_json(e, str(tmp_path / "out.json"))
+    tallyglass.write_markdown(e, str(tmp_path / "out.md"))
+    assert json.load(open(tmp_path / "out.json"))["metrics"] and open(tmp_path / "out.md").read().startswith("#")
+    with pytest.raises(AttributeError):
+        tallyglass.nothing
+
+
 # Operators ------------------------------------------------------------------------------------------------------------
 
 
