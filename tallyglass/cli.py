@@ -71,12 +71,12 @@ def _scan(args: argparse.Namespace) -> int:
     spark = SparkSession.builder.appName("tallyglass").getOrCreate()
     whole = scan(spark, args.path)
     estate, dropped = whole.at_least(args.min_confidence)
-    wanted = [(p, r) for p, r in ((args.json, json_file.render), (args.markdown, markdown.render)) if p]
+    wanted = [(p, r) for p, r in ((args.json, json_file.pieces), (args.markdown, markdown.render)) if p]
     problems = refusals([p for p, _ in wanted], whole, args.force) if wanted else []
-    shown = view(estate)
+    shown = None if args.quiet and not args.markdown else view(estate)  # JSON alone goes to its file piece by piece
     if wanted and not problems:
         try:
-            commit_all([(p, render(shown)) for p, render in wanted])
+            commit_all([(p, render(shown or estate)) for p, render in wanted])
         except CommitError as e:
             problems = [str(e), *(f"{p}: {s}" for p, s in e.states.items()), *(f"copy of {p}: {c}" for p, c in e.recovery.items()), *([f"index of the copies: {e.index}"] if e.index else [])]
     if not args.quiet:
@@ -86,7 +86,7 @@ def _scan(args: argparse.Namespace) -> int:
     if problems:
         print("\n".join(problems), file=sys.stderr)
         return FAILED
-    return FOUND if args.fail_on_findings and shown.summary["high"] else 0
+    return FOUND if args.fail_on_findings and not estate.findings.where("severity = 'high'").isEmpty() else 0
 
 
 def main(argv: Sequence[str] | None = None) -> int:

@@ -14,6 +14,7 @@ import os
 import shutil
 import stat
 import tempfile
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 PRIVATE = 0o600
@@ -36,11 +37,12 @@ def _beside(path: str, what: str) -> tuple[int, str]:
     return tempfile.mkstemp(prefix=f".{os.path.basename(path)}.", suffix=f".{what}", dir=os.path.dirname(path) or ".")
 
 
-def _stage(path: str, text: str) -> str:
+def _stage(path: str, text: str | Iterable[str]) -> str:
     fd, temp = _beside(path, "new")
     try:
         with os.fdopen(fd, "wb") as f:
-            f.write(text.encode("utf-8", "surrogatepass"))
+            for piece in [text] if isinstance(text, str) else text:
+                f.write(piece.encode("utf-8", "surrogatepass"))
             f.flush()
             os.fsync(f.fileno())
         os.chmod(temp, stat.S_IMODE(os.stat(path).st_mode) if os.path.exists(path) else PRIVATE)
@@ -79,8 +81,8 @@ def _sync_folders(paths: list[str]) -> None:
                 os.close(fd)
 
 
-def commit_all(pairs: list[tuple[str, str]]) -> None:
-    """pairs: destination and text. Raises CommitError if not all of them could be replaced."""
+def commit_all(pairs: list[tuple[str, str | Iterable[str]]]) -> None:
+    """pairs: destination and text, whole or in pieces. Raises CommitError if not all of them could be replaced."""
     paths = [os.path.realpath(p) for p, _ in pairs]
     if len(set(paths)) < len(paths):
         raise CommitError("two outputs have the same destination", {p: "old" if os.path.exists(p) else "absent" for p in paths})
@@ -94,6 +96,9 @@ def commit_all(pairs: list[tuple[str, str]]) -> None:
     except OSError as e:
         _forget([*staged.values(), *copies.values()])
         raise CommitError(f"the outputs could not be prepared: {e}", before) from e
+    except BaseException:  # pieces are made while they are written
+        _forget([*staged.values(), *copies.values()])
+        raise
     states = dict(before)
     index = None
     try:

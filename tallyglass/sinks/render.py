@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
 
+from pyspark.sql import functions as F
+
 from ..functions.text import scrub
 from ..plans.engine import Estate
 
@@ -28,14 +31,38 @@ class View:
 
 
 def view(estate: Estate) -> View:
-    visuals: dict[str, list[dict]] = {}
-    for r in estate.visuals.orderBy("seq").collect():
-        row = r.asDict(True)
-        visuals.setdefault(row.pop("asset_id"), []).append({k: v for k, v in row.items() if k != "seq"})
-    assets = [{k: v for k, v in r.asDict(True).items() if k != "seq"} | {"visuals": visuals.get(r.id, [])} for r in estate.assets.orderBy("seq").collect()]
-    metrics = [{k: v for k, v in r.asDict(True).items() if k != "seq"} for r in estate.metrics.orderBy("seq", "id").collect()]
-    notes = [{k: v for k, v in r.asDict().items() if k != "seq"} for r in estate.notes.orderBy("seq").collect()]
-    return View(estate.health.root, metrics, assets, [finding(r.asDict(True)) for r in estate.decided().collect()], notes, estate.health.errors, estate.summary())
+    return View(estate.health.root, list(metrics(estate)), list(assets(estate)), list(findings(estate)), notes(estate), estate.health.errors, estate.summary())
+
+
+# The parts of an estate in the order of reports; the driver holds one partition of each at a time.
+
+
+def _without_seq(row: dict) -> dict:
+    return {k: v for k, v in row.items() if k != "seq"}
+
+
+def metrics(estate: Estate) -> Iterator[dict]:
+    for r in estate.metrics.orderBy("seq", "id").toLocalIterator():
+        yield _without_seq(r.asDict(True))
+
+
+def assets(estate: Estate) -> Iterator[dict]:
+    """Reports, each with its visuals, which come from one document."""
+    own = [c for c in estate.visuals.columns if c not in ("asset_id", "seq")]
+    visuals = estate.visuals.groupBy(F.col("asset_id").alias("_of")).agg(F.sort_array(F.collect_list(F.struct("seq", *own))).alias("visuals"))
+    joined = estate.assets.join(visuals, F.col("id") == F.col("_of"), "left").drop("_of").orderBy("seq", "id")
+    for r in joined.toLocalIterator():
+        row = _without_seq(r.asDict(True))
+        yield row | {"visuals": [_without_seq(v) for v in row["visuals"] or ()]}
+
+
+def findings(estate: Estate) -> Iterator[dict]:
+    for r in estate.decided().toLocalIterator():
+        yield finding(r.asDict(True))
+
+
+def notes(estate: Estate) -> list[dict]:
+    return [_without_seq(r.asDict()) for r in estate.notes.orderBy("seq").collect()]
 
 
 def finding(row: dict) -> dict:

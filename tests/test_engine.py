@@ -56,7 +56,8 @@ def test_scan(scanned):
 def test_reports(scanned, spark, tmp_path):
     v = view(scanned)
     data = json.loads(json_file.render(v))
-    assert data["summary"]["metrics"] == 8 and json_file.render(v) == json_file.render(scanned)
+    assert data["summary"]["metrics"] == 8 and json_file.render(v) == json_file.render(scanned) == json.dumps(data, indent=2, sort_keys=True, ensure_ascii=False) + "\n"
+    assert [len(a["visuals"]) for a in data["assets"]] == [4] and data["usage"] == []
     md, text = markdown.render(v), console.render(v, width=80)
     assert "Keep Total Sales; retire Sales Total, Sum of Sales." in md and md == markdown.render(scanned)
     assert text.isascii() and all(len(x) <= 100 for x in text.splitlines()) and "Keep Total Sales" in text and "\x1b[" in console.render(v, color=True)
@@ -250,3 +251,17 @@ def test_query_against_sql(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0 and set(queries.QUERIES) <= set(entry.queries()) and set(queries.ORACLES) <= set(entry.oracle_sql())
+
+
+def test_pieces_that_fail_leave_nothing(tmp_path):
+    def broken():
+        yield "a"
+        raise ValueError("no more")
+
+    old = tmp_path / "old.txt"
+    old.write_text("before")
+    with pytest.raises(ValueError):
+        commit_all([(str(old), "after"), (str(tmp_path / "new.json"), broken())])
+    assert os.listdir(tmp_path) == ["old.txt"] and old.read_text() == "before"
+    commit_all([(str(old), iter(["a", "b"]))])
+    assert old.read_text() == "ab"
