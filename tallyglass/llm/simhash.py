@@ -52,10 +52,14 @@ def shingle_hashes(text: bytes | None, k: int = SHINGLE) -> list[int]:
 
 def fingerprint(text: bytes | None) -> int:
     """Bit i is 1 if it is set in over half of the shingle hashes."""
-    found = shingle_hashes(text)
-    if not found:
+    return majority(np.array(shingle_hashes(text), dtype=np.uint64))
+
+
+def majority(found: np.ndarray) -> int:
+    """Bit i is 1 if it is set in over half of the hashes."""
+    if not len(found):
         return 0
-    lanes = np.array(found, dtype=np.uint64).view(np.uint8).reshape(-1, 8)
+    lanes = found.view(np.uint8).reshape(-1, 8)
     if len(found) < 256:
         counts = np.unpackbits(lanes, axis=1, bitorder="little").sum(0, dtype=np.int64)
     else:
@@ -335,7 +339,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp")
 
 
-# The pipeline's stage: near copies by the Jaccard similarity of their shingles ------------------------------------
+# The pipeline's stage: SimHash groups, then bands of minima; links by the Jaccard similarity of all shingles --------
 
 #: Words of a shingle, and the least similarity of near copies.
 NEAR_SHINGLE = 5
@@ -396,16 +400,24 @@ def similar_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text, version. digest, size (different shingles) and bands of each."""
+    """docs: doc_id, text, version. digest, size (different shingles), fp (their SimHash) and bands of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             if batch.num_rows:
                 sets = [shingle_set(x) for x in as_bytes(batch)]
                 keys = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, np.concatenate([band_keys(x) for x in sets]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([set_digest(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), keys], names=["doc_id", "version", "digest", "size", "bands"])
+                fps = pa.array(np.array([majority(x) for x in sets], dtype=np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([set_digest(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), fps, keys], names=["doc_id", "version", "digest", "size", "fp", "bands"])
+
+    return map_arrow(docs, run, "doc_id long, version long, digest long, size long, fp long, bands array<long>")
+
 
-    return map_arrow(docs, run, "doc_id long, version long, digest long, size long, bands array<long>")
+def _simhash_groups(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """fp, grp of the nodes' fingerprints: one grp for all that a chain of links within the budget joins."""
+    fps = scratch.save(nodes.select("fp", F.col("fp").alias("node")).distinct())
+    components = connected_components(fingerprint_links(fps, scratch), scratch).withColumnRenamed("node", "fp")
+    return fps.join(components, "fp", "left").select("fp", F.coalesce("component", "fp").alias("grp"))
 
 
 def _sets_by_key(docs: DataFrame) -> DataFrame:
@@ -447,15 +459,15 @@ def _links_of_bands(rows: DataFrame) -> DataFrame:
 
 
 def _dealt(keys: DataFrame, weights: DataFrame, heavy: int) -> DataFrame:
-    """key, node, digest, size, leader, parts of the nodes of heavy keys.
+    """key, node, digest, size, leader, parts of the nodes of heavy keys that are needed.
 
-    The leader is the node that has most heavy keys: of near copies of one text, most likely that text.
+    The leader is the node that has most heavy keys, needed or not: of near copies of one text, most likely that text.
     """
     of = keys.join(weights.where(F.col("weight") > heavy), "key")
     spread = of.groupBy("digest").agg(F.count("*").alias("spread"))
     rows = of.join(spread, "digest")
     leaders = rows.groupBy("key").agg(F.max(F.struct("spread", "digest")).alias("x")).select("key", F.col("x.digest").alias("leader"))
-    return rows.join(leaders, "key").select("key", "node", "digest", "size", "leader", F.ceil(F.col("weight") / heavy).cast("long").alias("parts"))
+    return rows.where("needed").join(leaders, "key").select("key", "node", "digest", "size", "leader", F.ceil(F.col("weight") / heavy).cast("long").alias("parts"))
 
 
 def _part(salt: int, parts: str) -> Column:
@@ -492,19 +504,26 @@ def _across_parts(dealt: DataFrame, components: DataFrame, scratch: Scratch, hea
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY) -> DataFrame:
     """doc_id, version (the text's hash), component_id (the smallest doc_id) and component of every row with an id.
 
-    Texts of similarity NEAR or more are linked. Texts with the same shingles are one node. Nodes that agree on a band
-    are compared by all their shingles, so no link is a guess. The nodes of a key with more than `heavy` shingles are
-    dealt over tasks: first by parts that share a leader, then those that the leader's component lacks against all.
+    Texts of similarity NEAR or more are linked. Texts with the same shingles are one node. The fingerprints of the nodes
+    go through the trie join, and the nodes of each component of theirs, its group, are compared by all their shingles, so
+    no link is a guess. Fingerprints of similar texts can differ in more bits than the budget, so nodes that agree on a
+    band are compared too, but for bands within one group, whose pairs the group has. The nodes of a key (group or band)
+    with more than `heavy` shingles are dealt over tasks: first by parts that share a leader, then those that the
+    leader's component lacks against all.
     """
     scratch = Scratch(docs.sparkSession, "similar")
     text = F.col(text_col).cast("string")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("version")).where("doc_id is not null")
     rows = scratch.save(_signatures(texts))
     # one row stands for all with its shingles
-    nodes = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "version")).alias("x"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    nodes = scratch.save(nodes.select("digest", F.struct("digest", "x.doc_id", "x.version").alias("node"), "size", "bands"))
-    keys = nodes.select("digest", "node", "size", F.explode("bands").alias("key"))
-    weights = scratch.save(keys.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("weight")).where("n > 1").drop("n"))
+    nodes = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "version")).alias("x"), *(F.first(c).alias(c) for c in ("size", "fp", "bands")))
+    nodes = scratch.save(nodes.select("digest", F.struct("digest", "x.doc_id", "x.version").alias("node"), "size", "fp", "bands"))
+    # texts without words are one node, which is like no other
+    grouped = scratch.save(nodes.where("size > 0").join(_simhash_groups(nodes, scratch).hint("merge"), "fp").select("digest", "node", "size", "grp", "bands"))
+    of_groups = grouped.select("digest", "node", "size", "grp", F.xxhash64("grp").alias("key"), F.lit(True).alias("whole"))
+    keys = of_groups.union(grouped.select("digest", "node", "size", "grp", F.explode("bands").alias("key"), F.lit(False)))
+    weights = keys.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("weight"), F.expr("max(whole) or min(grp) <> max(grp)").alias("needed"))
+    weights = scratch.save(weights.where("n > 1").drop("n"))
 
     def compared(wanted: DataFrame) -> DataFrame:
         """wanted: node, key. The links among the nodes of each key."""
@@ -513,8 +532,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         sets = _sets_by_key(texts.join(wanted.hint("merge"), ["doc_id", "version"]).select("doc_id", "text", "digest", "keys"))
         return scratch.save(_links_of_bands(sets).distinct())
 
-    light = keys.join(weights.where(F.col("weight") <= heavy), "key").select("node", "key")
-    if weights.where(F.col("weight") > heavy).isEmpty():
+    light = keys.join(weights.where((F.col("weight") <= heavy) & F.col("needed")), "key").select("node", "key")
+    if weights.where((F.col("weight") > heavy) & F.col("needed")).isEmpty():
         components = connected_components(compared(light), scratch)
     else:
         dealt = scratch.save(_dealt(keys, weights, heavy))

@@ -78,3 +78,61 @@ def test_parts_of_heavy_keys_are_small_and_cover_all_pairs(spark):
     assert max(map(len, across.values())) < 400
     met = {i: set().union(*(x for x in across.values() if i in x)) for i in range(1500, 2000, 50)}
     assert all(x == set(range(2000)) for x in met.values())
+
+
+def simhash_bits(text):
+    return simhash.majority(simhash.shingle_set(text.encode()))
+
+
+def test_simhash_finds_copies_on_its_own(spark, monkeypatch):
+    """Without common bands the fingerprints still join copies; texts that they join but that share less than 0.8 stay."""
+    texts, unlike = {}, 0
+    for k in range(40):
+        rng = random.Random(k)
+        base = " ".join(f"w{rng.randrange(5000)}" for _ in range(300))
+        texts[100 * k] = base
+        for j in range(1, 100):
+            copy = changed(base, 1 if j < 3 else 9, 1000 * k + j)
+            near = (simhash_bits(base) ^ simhash_bits(copy)).bit_count() <= simhash.BUDGET
+            if j < 3 or near:
+                texts[100 * k + j] = copy
+                unlike += near and jaccard(base, copy) < 0.8
+    texts |= {9000: "", 9001: " \n", 9002: "one two three four five six"}
+    assert unlike > 5
+    by_fp = {i: simhash_bits(t) for i, t in texts.items()}
+    ids = sorted(texts)
+    near = [(i, j) for i in ids for j in ids if i < j and (by_fp[i] ^ by_fp[j]).bit_count() <= simhash.BUDGET]
+    groups, least = {i: i for i in ids}, {i: i for i in ids}
+    for _ in range(20):
+        for i, j in near:
+            groups[i] = groups[j] = min(groups[i], groups[j])
+    links = [(i, j) for i in ids for j in ids if i < j and groups[i] == groups[j] and jaccard(texts[i], texts[j]) >= 0.8]
+    for _ in range(20):
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+    assert sum(least[i] != i for i in ids) > 40
+    whole = simhash._signatures
+    own = simhash.F.expr("transform(sequence(1, 16), i -> xxhash64(digest, i))")
+    monkeypatch.setattr(simhash, "_signatures", lambda docs: whole(docs).withColumn("bands", own))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for heavy in (1000, simhash.HEAVY):
+        assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs, heavy=heavy).collect()} == least, heavy
+
+
+def test_bands_within_one_group_are_not_compared_again(spark, monkeypatch):
+    rng = random.Random(3)
+    base = " ".join(f"w{rng.randrange(5000)}" for _ in range(300))
+    copy = next(t for t in (changed(base, 1, i) for i in range(50)) if (simhash_bits(base) ^ simhash_bits(t)).bit_count() <= simhash.BUDGET)
+    far = next(t for t in (changed(base, 5, i) for i in range(50)) if min((simhash_bits(x) ^ simhash_bits(t)).bit_count() for x in (base, copy)) > simhash.BUDGET)
+    keys = []
+    whole = simhash._sets_by_key
+
+    def seen(docs):
+        keys.append({r.doc_id: len(r["keys"]) for r in docs.collect()})
+        return whole(docs)
+
+    monkeypatch.setattr(simhash, "_sets_by_key", seen)
+    for texts, wanted in (([base, copy], {1: 1, 2: 1}), ([base, copy, far], None)):
+        docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+        assert [r.doc_id for r in simhash.keep_one(docs).collect()] == [1]
+        assert keys[-1] == wanted or not wanted and set(keys[-1]) == {1, 2, 3}
