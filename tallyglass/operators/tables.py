@@ -29,10 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over as many partitions as there are cores, if it has fewer: one small file would leave Python work to one task."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df over as many partitions as there are cores, if it has fewer: one small file would leave Python work to one task.
+
+    With rows, no partition gets more rows than that, so tasks don't grow with the table; df is counted for it.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    if rows:
+        wanted = max(wanted, -(-df.count() // rows))
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:

@@ -12,6 +12,7 @@ from tallyglass import cli
 from tallyglass.functions import columns
 from tallyglass.operators import decide, dependencies, duplicates, usage
 from tallyglass.operators.ranking import rank_within
+from tallyglass.operators.tables import spread
 from tallyglass.plans import engine, queries
 from tallyglass.sinks import console, json_file, markdown, tables
 from tallyglass.sinks.commit import CommitError, commit_all, recover
@@ -265,3 +266,10 @@ def test_pieces_that_fail_leave_nothing(tmp_path):
     assert os.listdir(tmp_path) == ["old.txt"] and old.read_text() == "before"
     commit_all([(str(old), iter(["a", "b"]))])
     assert old.read_text() == "ab"
+
+
+def test_partitions_do_not_grow_with_the_table(spark, monkeypatch):
+    assert spread(spark.range(1000, numPartitions=1)).rdd.getNumPartitions() == 4 and spread(spark.range(1000, numPartitions=1), 100).rdd.getNumPartitions() == 10
+    monkeypatch.setattr(queries, "EVENTS", 100)
+    walked = queries.QUERIES["json_walk_events"](spark, DATA)
+    assert walked.rdd.getNumPartitions() == -(-spark.read.parquet(f"{DATA}/events.parquet").count() // 100) and walked.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 3 * 110
