@@ -1,8 +1,10 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tallyglass.functions import dax
+from tallyglass.functions import dax, text
 
 SAME = [
     ("SUM ( Sales[Amount] )", "sum(Sales[amount])"),
@@ -111,3 +113,23 @@ def test_large_formulas_and_exponents():
     assert not dax.normalise("1" * 262_145).ok
     c = dax.normalise("1e100000 + a[b]")
     assert c.ok and len(c.normalised) < 500 and time.time() - began < 30
+
+
+def test_built_ins_agree_with_python(spark):
+    from pyspark.sql import functions as F
+
+    from tallyglass.functions import columns as C
+
+    rng = random.Random(5)
+    alphabet = [*"aAbZ.[](\t '\"`“”_ \x1c\x85　​1", "ß", "İ", "ẞ", "ﬃ", "Σ", "ς", "Ǆ", "𐐀", "Ꭰ", "ꭰ", "é", "É", "of", "The", "''", "[x]", "'T'[", "\n", "ΐ", "\x00"]
+    names = [None, "", "''", "'", "' \"x y\" '", "'a\"", "'''a'b''", "T.A.b", "T[a.b]", "a]b[c]", "[a]\n", "." * 5, *("".join(rng.choices(alphabet, k=rng.randrange(12))) for _ in range(3000))]
+    every = [chr(c) for c in (*range(1, 0xD800), *range(0xE000, 0x30000)) if chr(c).casefold() != chr(c) or chr(c).isspace() or c < 256]
+    refs = [[{"table": rng.choice(names), "column": rng.choice(names) or "c"} for _ in range(rng.randrange(4))] for _ in range(500)]
+    rows = spark.createDataFrame([(n, r) for n, r in zip(names + [x for c in every for x in (c, f"x{c}Y", f"{c} {c}")], refs + [None] * 10**5)], "n string, r array<struct<table:string,column:string>>")
+    n, r = F.col("n"), F.col("r")
+    got = rows.select("n", "r", C.casefold(n).alias("fold"), C.name_key(n).alias("key"), C.reference_keys(n).alias("keys"), C.bracket_keys(n).alias("brackets"), C.word_bag(n).alias("words"), C.reference_columns(r).alias("columns"), C.ref_fingerprint(r).alias("print"))
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    for x in got.collect():
+        want = (None if x.n is None else x.n.casefold(), text.name_key(x.n), text.reference_keys(x.n), text.bracket_keys(x.n), text.word_bag(x.n))
+        assert (x.fold, x.key, x.keys, x.brackets, x.words) == want
+        assert x.columns == sorted({k for y in x.r or () if (k := text.name_key(y["column"]))}) and x.print == "|".join(sorted({text.ref_key(y["table"], y["column"]) for y in x.r or ()}))
