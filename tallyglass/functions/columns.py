@@ -142,7 +142,9 @@ def canonical(formula: Column | str, dialect: Column) -> Column:
     """The canonical form as a struct."""
 
     def run(formulas: pa.Array, dialects: pa.Array) -> pa.Array:
-        return pa.array([_row(f, d) for f, d in zip(formulas.to_pylist(), dialects.to_pylist())], _CANONICAL)
+        places: dict[tuple, int] = {}  # a batch's distinct formulas
+        at = [places.setdefault(pair, len(places)) for pair in zip(formulas.to_pylist(), dialects.to_pylist())]
+        return pa.array([_row(f, d) for f, d in places], _CANONICAL).take(pa.array(at, pa.int32()))
 
     # it is deterministic, but a filter on its result must not be pushed below it and thereby run it twice
     udf = F.arrow_udf(run, f"struct<{', '.join(x.replace(' ', ':', 1) for x in CANONICAL.split(', '))}>").asNondeterministic()

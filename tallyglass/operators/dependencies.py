@@ -24,9 +24,12 @@ def dependency_edges(metrics: DataFrame, names: DataFrame) -> DataFrame:
     The model narrows what a name means, the root doesn't: this can only add edges, and thereby uses.
     """
     keys = F.array_union(C.reference_columns(F.col("refs")), C.bracket_keys(F.col("expression")))
-    wanted = metrics.select(F.col("id").alias("src"), C.casefold(F.coalesce("model", F.lit(""))).alias("model"), F.explode(keys).alias("key")).distinct()
-    found = narrow(wanted.withColumn("root", F.lit("")), names, by_root=False)
-    return found.select("src", F.col("id").alias("dst")).where("src <> dst").distinct()
+    wanted = metrics.select(F.col("id").alias("src"), C.casefold(F.coalesce("model", F.lit(""))).alias("model"), F.explode(keys).alias("key"))
+    wanted = materialise(wanted, "wanted")
+    # what a key means in a model is the same for all formulas, and most keys name columns that many formulas share
+    meant = narrow(wanted.select("model", "key").distinct().withColumn("root", F.lit("")), names, by_root=False)
+    found = wanted.join(meant.select("model", "key", F.col("id").alias("dst")), ["model", "key"])
+    return found.select("src", "dst").where("src <> dst").distinct()
 
 
 def reachable(seeds: DataFrame, edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
@@ -69,7 +72,7 @@ def _in_one_task(seeds: DataFrame, edges: DataFrame) -> DataFrame:
                     stack.append(b)
         yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.string())], names=["id"])
 
-    walked = edges.select("src", "dst").union(starts).coalesce(1).mapInArrow(run, "id string")
+    walked = edges.select("src", "dst").union(starts).repartition(1).mapInArrow(run, "id string")
     return seeds.select("id").union(walked).distinct()
 
 

@@ -13,16 +13,12 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 
 
-def identities(metrics: DataFrame) -> DataFrame:
-    """id, root, model of each id; the last row of an id counts."""
-    last = F.max_by(F.struct(F.coalesce("source_root", F.lit("")).alias("root"), F.coalesce("model", F.lit("")).alias("model")), "seq")
-    return metrics.groupBy("id").agg(last.alias("x")).select("id", "x.root", C.casefold(F.col("x.model")).alias("model"))
-
-
 def name_lookup(metrics: DataFrame) -> DataFrame:
     """key, id, root, model: what each name may mean."""
-    keys = metrics.select("id", C.name_key(F.col("name")).alias("key")).where("key <> ''").distinct()
-    return keys.join(identities(metrics), "id")
+    last = F.max_by(F.struct(F.coalesce("source_root", F.lit("")).alias("root"), F.coalesce("model", F.lit("")).alias("model")), "seq")
+    rows = metrics.select("id", "seq", "source_root", "model", C.name_key(F.col("name")).alias("key"))
+    ids = rows.groupBy("id").agg(F.collect_set(F.when(F.col("key") != "", F.col("key"))).alias("keys"), last.alias("x"))
+    return ids.select(F.explode("keys").alias("key"), "id", "x.root", C.casefold(F.col("x.model")).alias("model"))
 
 
 def narrow(wanted: DataFrame, names: DataFrame, by_root: bool) -> DataFrame:
@@ -54,8 +50,14 @@ def raw_references(assets: DataFrame, visuals: DataFrame) -> DataFrame:
     asset = assets.select(
         F.col("id").alias("asset_id"), F.col("name").alias("asset_name"), F.coalesce("source_root", F.lit("")).alias("root"), C.casefold(F.coalesce("model", F.lit(""))).alias("model")
     )
-    names = visuals.select("asset_id", F.col("id").alias("visual_id"), "page", "visual_type", F.explode("metric_names").alias("raw")).where("raw is not null")
-    return names.join(asset, "asset_id").withColumn("asset_key", F.concat_ws("@", "asset_id", "root"))
+    rows = visuals.select("asset_id", F.col("id").alias("visual_id"), "page", "visual_type", "metric_names").join(asset, "asset_id")
+    named = rows.select("*", F.explode("metric_names").alias("raw")).drop("metric_names").where("raw is not null")
+    return named.withColumn("asset_key", F.concat_ws("@", "asset_id", "root"))
+
+
+def asset_references(refs: DataFrame) -> DataFrame:
+    """What each asset refers to, however many of its visuals do: all that meanings depend on."""
+    return refs.select("asset_id", "asset_key", "raw", "root", "model").distinct()
 
 
 def readings(raws: DataFrame, names: DataFrame) -> DataFrame:
@@ -64,11 +66,32 @@ def readings(raws: DataFrame, names: DataFrame) -> DataFrame:
     return keyed.join(names.select("key").distinct(), "key").groupBy("raw").agg(F.min_by("key", "pos").alias("key"))
 
 
-def usage_edges(refs: DataFrame, names: DataFrame) -> DataFrame:
-    """metric_id and what refers to it, each (asset, visual, reference) once."""
-    meant = narrow(refs.join(readings(refs, names), "raw").select("raw", "key", "root", "model").distinct(), names, by_root=True)
-    found = refs.join(meant.select("raw", "root", "model", F.col("id").alias("metric_id")), ["raw", "root", "model"])
-    return found.groupBy("metric_id", "asset_id", "asset_key", "visual_id", "raw").agg(F.min("asset_name").alias("asset_name"), F.min("page").alias("page"), F.min("visual_type").alias("visual_type"))
+def links(of_assets: DataFrame, names: DataFrame, read: DataFrame | None = None) -> DataFrame:
+    """asset_id, asset_key, raw, metric_id: what each reference of an asset means. of_assets: see asset_references()."""
+    read = readings(of_assets, names) if read is None else read
+    meant = narrow(of_assets.select("raw", "root", "model").distinct().join(read, "raw").select("raw", "key", "root", "model"), names, by_root=True)
+    found = of_assets.join(meant.select("raw", "root", "model", F.col("id").alias("metric_id")), ["raw", "root", "model"])
+    return found.select("asset_id", "asset_key", "raw", "metric_id").distinct()  # an id may come with several models
+
+
+def _held(refs: DataFrame, found: DataFrame) -> DataFrame:
+    """metric_id, asset_id, asset_key, visual_id, raw, page, visual_type: the links of assets, for each visual that holds one."""
+    seen = refs.groupBy("asset_id", "visual_id", "raw").agg(F.min("page").alias("page"), F.min("visual_type").alias("visual_type"))
+    return seen.join(found, ["asset_id", "raw"]).select("metric_id", "asset_id", "asset_key", "visual_id", "raw", "page", "visual_type")
+
+
+def usage_edges(refs: DataFrame, names: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """metric_id and what refers to it, each (asset, visual, reference) once. found: links(), if they are known.
+
+    Links are found for assets, and their visuals are joined last: the rows of visuals are moved twice, and sorted by no
+    more than their keys.
+    """
+    return _held(refs, links(asset_references(refs), names) if found is None else found)
+
+
+def carried(visuals: DataFrame) -> DataFrame:
+    """asset_id, visual_id, raw, page, visual_type: one row for each name that a visual carries."""
+    return visuals.select("asset_id", F.col("id").alias("visual_id"), "page", "visual_type", F.explode("metric_names").alias("raw")).where("raw is not null")
 
 
 def reference_counts(edges: DataFrame) -> DataFrame:
@@ -81,9 +104,9 @@ def asset_uses(edges: DataFrame) -> DataFrame:
     return edges.select("metric_id", "asset_key").distinct().groupBy("metric_id").agg(F.array_sort(F.collect_list("asset_key")).alias("asset_keys"))
 
 
-def unresolved(refs: DataFrame, names: DataFrame) -> DataFrame:
+def unresolved(refs: DataFrame, names: DataFrame, read: DataFrame | None = None) -> DataFrame:
     """raw: references that name no metric."""
-    return refs.select("raw").distinct().join(readings(refs, names), "raw", "left_anti")
+    return refs.select("raw").distinct().join(readings(refs, names) if read is None else read, "raw", "left_anti")
 
 
 def missing_measures(unresolved_raws: DataFrame, metrics: DataFrame) -> DataFrame:

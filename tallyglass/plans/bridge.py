@@ -48,8 +48,9 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def visuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = (
-        "filter(array(concat('Reports.Measure ', o_custkey div 4), case when o_orderstatus = 'F' then concat('Archive Measure ', o_custkey div 4 + 400, ' copy') end,"
-        " case when o_orderstatus = 'O' then concat('ECONOMY.', o_orderkey % 60) end), x -> x is not null)"
+        "concat(case when o_custkey is null then array() else array(concat('Reports.Measure ', o_custkey div 4)) end,"
+        " case when o_orderstatus = 'F' and o_custkey is not null then array(concat('Archive Measure ', o_custkey div 4 + 400, ' copy')) else array() end,"
+        " case when o_orderstatus = 'O' and o_orderkey is not null then array(concat('ECONOMY.', o_orderkey % 60)) else array() end)"
     )
     return table(spark, sf_dir, "orders").select(
         F.concat(F.lit("a:"), "o_custkey").alias("asset_id"), F.col("o_orderkey").alias("seq"), F.concat(F.lit("v"), "o_orderkey").alias("id"), F.col("o_orderpriority").alias("page"),

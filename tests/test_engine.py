@@ -273,3 +273,21 @@ def test_partitions_do_not_grow_with_the_table(spark, monkeypatch):
     monkeypatch.setattr(queries, "EVENTS", 100)
     walked = queries.QUERIES["json_walk_events"](spark, DATA)
     assert walked.rdd.getNumPartitions() == -(-spark.read.parquet(f"{DATA}/events.parquet").count() // 100) and walked.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 3 * 110
+
+
+def _never(*_, **__):
+    raise AssertionError("this is not needed")
+
+
+def test_usage_is_made_when_it_is_asked_for(spark, monkeypatch):
+    from tallyglass.operators import unused
+
+    metrics = columns.enrich(spark.createDataFrame([(1, "1", "A", "M", "/a", "[B]"), (2, "2", "B", "M", "/a", "1"), (3, "3", "C", "M", "/a", "1")], "seq long, id string, name string, model string, source_root string, expression string"))
+    assets = spark.createDataFrame([(1, "r", "R", "M", "/a"), (2, "r", "R", "N", "/a")], "seq long, id string, name string, model string, source_root string")
+    visuals = spark.createDataFrame([("r", i, f"v{i}", "p", "card", ["A", "T.A", "gone"]) for i in range(3)], "asset_id string, seq long, id string, page string, visual_type string, metric_names array<string>")
+    edges = unused.study(metrics, assets, visuals).edges
+    assert sorted((r.metric_id, r.visual_id, r.raw) for r in edges.collect()) == [("1", f"v{i}", n) for i in range(3) for n in ("A", "T.A")]
+    monkeypatch.setattr(usage, "usage_edges", _never)
+    known = unused.study(metrics, assets, visuals)
+    assert known.reason is None and [r.raw for r in known.unresolved.collect()] == ["gone"] and [r.id for r in unused.unused(metrics, known).collect()] == ["3"]
+    assert {(r.metric_id, *r.asset_keys) for r in usage.asset_uses(known.links).collect()} == {("1", "r@/a")}
