@@ -91,12 +91,14 @@ def finding_blockers(findings: DataFrame, metrics: DataFrame, covered: DataFrame
 
 def decided(findings: DataFrame, metrics: DataFrame, covered: DataFrame, shared: list[str]) -> DataFrame:
     """findings with cleared and blockers; both are null where no action is in question."""
-    of_sets = findings.where(F.col("kind") == ACTIONABLE)
+    actionable = F.coalesce(F.col("kind") == ACTIONABLE, F.lit(False))
+    of_sets, others = findings.where(actionable), findings.where(~actionable)
     own = finding_blockers(of_sets.select("kind", "confidence", "metric_ids"), metrics, covered).withColumnRenamed("blockers", "_own").distinct()
-    out = findings.join(own, ["kind", "metric_ids"], "left")
     everyones = F.array(*map(F.lit, shared)) if shared else F.array().cast("array<string>")
-    blockers = F.when(F.col("kind") == ACTIONABLE, F.concat(everyones, F.coalesce("_own", F.array().cast("array<string>"))))
-    return out.withColumn("blockers", blockers).withColumn("cleared", F.size("blockers") == 0).withColumn("cleared", F.when(F.col("blockers").isNotNull(), F.col("cleared"))).drop("_own")
+    blockers = F.concat(everyones, F.coalesce("_own", F.array().cast("array<string>")))
+    out = of_sets.join(own, ["kind", "metric_ids"], "left").select(*findings.columns, blockers.alias("blockers")).withColumn("cleared", F.size("blockers") == 0)
+    # nothing is joined to the others, which are many and may be long
+    return out.unionByName(others.select("*", F.lit(None).cast("array<string>").alias("blockers"), F.lit(None).cast("boolean").alias("cleared")))
 
 
 def proven_removable(findings: DataFrame, metrics: DataFrame) -> DataFrame:

@@ -14,6 +14,9 @@ from .ranking import rank_within
 
 EXACT, SHAPE, NAME = 1.0, 0.6, 0.3
 SAMPLE = 12
+#: The order of members within a set: most used, then visible, then by name.
+KEEPER_ORDER = ["unused_first", "is_hidden", "name_cf", "id"]
+CANDIDATE_ORDER = ["name_cf", "id"]
 
 
 def eligible(metrics: DataFrame) -> DataFrame:
@@ -41,12 +44,17 @@ def interchangeability(invalid: Column, dynamic: Column, formats: Column, types:
 
 
 def metadata_aggregates() -> list[Column]:
-    """A null is a value of its own here: it is wrapped in a struct before it is counted."""
+    """A null is a value of its own here: it is wrapped in a struct. formats and types are 1, or 2 for more than one: least and
+    greatest tell that, where distinct counts would write each row once for each of them."""
+
+    def one_or_more(column: str) -> Column:
+        return F.when(F.min(F.struct(column)).eqNullSafe(F.max(F.struct(column))), 1).otherwise(2)
+
     return [
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce("extra.invalid_metadata", F.array().cast("array<string>")))))).alias("invalid"),
         F.coalesce(F.max("extra.dynamic_format"), F.lit(False)).alias("dynamic"),
-        F.count_distinct(F.struct("format_string")).alias("formats"),
-        F.count_distinct(F.struct("data_type")).alias("types"),
+        one_or_more("format_string").alias("formats"),
+        one_or_more("data_type").alias("types"),
     ]
 
 
@@ -70,37 +78,47 @@ def exact_sets(metrics: DataFrame, counts: DataFrame | None = None) -> DataFrame
     )
 
 
+def in_keeper_order(metrics: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Eligible metrics with uses and the columns of KEEPER_ORDER."""
+    return with_uses(eligible(metrics), counts).withColumn("name_cf", C.casefold(F.coalesce("name", F.lit("")))).withColumn("unused_first", -F.col("uses"))
+
+
 def exact_members(metrics: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """fingerprint, position (1 for the keeper), id, name, uses, is_hidden of every member of a set."""
-    rows = with_uses(eligible(metrics), counts)
-    several = rows.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n >= 2").select("fingerprint")
-    rows = rows.join(several, "fingerprint", "left_semi").select("fingerprint", "id", "name", "uses", "is_hidden", "model", "source_path", "display_folder", "agg_kind")
-    rows = rows.withColumn("name_cf", C.casefold(F.coalesce("name", F.lit("")))).withColumn("unused_first", -F.col("uses"))
-    return rank_within(rows, ["fingerprint"], ["unused_first", "is_hidden", "name_cf", "id"], "position").drop("name_cf", "unused_first")
+    rows = in_keeper_order(metrics, counts)
+    several = eligible(metrics).groupBy("fingerprint").agg(F.count("*").alias("n")).where("n >= 2").select("fingerprint")
+    rows = rows.join(several, "fingerprint", "left_semi").select("fingerprint", "id", "name", "uses", "is_hidden", "model", "source_path", "display_folder", "agg_kind", "name_cf", "unused_first")
+    return rank_within(rows, ["fingerprint"], KEEPER_ORDER, "position").drop("name_cf", "unused_first")
+
+
+def candidate_rows(metrics: DataFrame, tier: str) -> tuple[list[str], DataFrame]:
+    """The keys of a kind of candidates, and the metrics that have them: same columns and aggregate, or same words in the name."""
+    if tier == "same_shape":
+        keys, rows = ["ref_fingerprint", "agg_kind"], eligible(metrics).withColumn("ref_fingerprint", C.ref_fingerprint(F.col("refs"))).where("ref_fingerprint <> '' and agg_kind is not null")
+    else:
+        keys, rows = ["name_tokens"], eligible(metrics).withColumn("name_tokens", C.word_bag(F.col("name"))).where("size(name_tokens) > 0")
+    return keys, rows.withColumn("name_cf", C.casefold(F.coalesce("name", F.lit(""))))
 
 
 def shape_sets(metrics: DataFrame) -> DataFrame:
     """Same columns and same aggregate, but different formulas."""
-    rows = eligible(metrics).withColumn("ref_fingerprint", C.ref_fingerprint(F.col("refs"))).where("ref_fingerprint <> '' and agg_kind is not null")
-    return _candidates(rows, ["ref_fingerprint", "agg_kind"])
+    keys, rows = candidate_rows(metrics, "same_shape")
+    return candidate_sets(rows, keys)
 
 
 def name_sets(metrics: DataFrame) -> DataFrame:
     """The same words in the name, but different formulas."""
-    rows = eligible(metrics).withColumn("name_tokens", C.word_bag(F.col("name"))).where("size(name_tokens) > 0")
-    return _candidates(rows, ["name_tokens"])
+    keys, rows = candidate_rows(metrics, "name_drift")
+    return candidate_sets(rows, keys)
 
 
-def _candidates(rows: DataFrame, keys: list[str]) -> DataFrame:
+def candidate_sets(rows: DataFrame, keys: list[str]) -> DataFrame:
     out = rows.groupBy(*keys).agg(F.count("*").alias("measure_count"), F.count_distinct("fingerprint").alias("distinct_expression_count"))
     return out.where("distinct_expression_count >= 2")
 
 
 def candidate_members(metrics: DataFrame, tier: str) -> DataFrame:
     """The keys of a candidate set, position, id and name of every member."""
-    if tier == "same_shape":
-        keys, rows = ["ref_fingerprint", "agg_kind"], eligible(metrics).withColumn("ref_fingerprint", C.ref_fingerprint(F.col("refs"))).where("ref_fingerprint <> '' and agg_kind is not null")
-    else:
-        keys, rows = ["name_tokens"], eligible(metrics).withColumn("name_tokens", C.word_bag(F.col("name"))).where("size(name_tokens) > 0")
-    rows = rows.join(_candidates(rows, keys).select(*keys), keys, "left_semi").withColumn("name_cf", C.casefold(F.coalesce("name", F.lit(""))))
-    return rank_within(rows, keys, ["name_cf", "id"], "position").select(*keys, "position", "id", "name", "normalised", "fingerprint")
+    keys, rows = candidate_rows(metrics, tier)
+    rows = rows.join(candidate_sets(rows, keys).select(*keys), keys, "left_semi").select(*keys, "id", "name", "normalised", "fingerprint", "name_cf")
+    return rank_within(rows, keys, CANDIDATE_ORDER, "position").select(*keys, "position", "id", "name", "normalised", "fingerprint")

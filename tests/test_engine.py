@@ -291,3 +291,16 @@ def test_usage_is_made_when_it_is_asked_for(spark, monkeypatch):
     known = unused.study(metrics, assets, visuals)
     assert known.reason is None and [r.raw for r in known.unresolved.collect()] == ["gone"] and [r.id for r in unused.unused(metrics, known).collect()] == ["3"]
     assert {(r.metric_id, *r.asset_keys) for r in usage.asset_uses(known.links).collect()} == {("1", "r@/a")}
+
+
+def test_findings_list_members_without_ranking_rows(spark, monkeypatch):
+    from tallyglass.operators import findings
+
+    rows = [(i, f"m{i}", f"Total {'of' * (i % 2)} x", "M", "/a", f, i % 3 == 0) for i, f in enumerate(["SUM(t[x])", "sum( T[X])", "SUM(t[x])", "SUM(t[x]) + 1"])]
+    metrics = columns.enrich(spark.createDataFrame(rows, "seq long, id string, name string, model string, source_root string, expression string, is_hidden boolean"))
+    extra = F.struct(F.lit(False).alias("dynamic_format"), F.lit(None).cast("array<string>").alias("invalid_metadata"))
+    metrics = metrics.select("*", extra.alias("extra"), *[F.lit(None).cast("string").alias(c) for c in ("format_string", "data_type", "source_path", "display_folder")])
+    monkeypatch.setattr(duplicates, "rank_within", _never)
+    for brief in (False, True):
+        found = findings.exact(metrics, None, brief).union(findings.candidates(metrics, "same_shape", brief))
+        assert [tuple(r.metric_ids) for r in found.orderBy("kind").collect()] == [("m2", "m1", "m0"), ("m0", "m2", "m1", "m3")]
